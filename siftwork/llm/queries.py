@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import mixing, warc
+from siftwork.llm import mixing, near_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), alpha=0.5, seed=7)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate group and whether it stays."""
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "group_id", "keep")
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages and restore their records; digests of both prove the round trip."""
     arc = warc.archive(warc.records(_table(spark, sf_dir, "pages")))
@@ -37,6 +42,7 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_near_dedup": op3_near_dedup,
     "op6_warc_archive": op6_warc_archive,
 }
 
