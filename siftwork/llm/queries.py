@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import mixing, near_dedup, warc
+from siftwork.llm import mixing, near_dedup, pii, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +40,22 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of personal data in the documents."""
+    return pii.find(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in the documents."""
+    return secrets.find(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op6_warc_archive": op6_warc_archive,
+    "op9_pii": op9_pii,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
