@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import mixing, near_dedup, pii, secrets, warc
+from siftwork.llm import bpe, mixing, near_dedup, pii, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, and whether they decode to its text."""
+    return bpe.tokenized(_table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span of personal data in the documents."""
     return pii.find(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op6_warc_archive": op6_warc_archive,
+    "op7_bpe": op7_bpe,
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
 }
