@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import bpe, mixing, near_dedup, pii, secrets, warc
+from siftwork.llm import bpe, mixing, near_dedup, pii, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,13 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "group_id", "keep")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, and whether it passes."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).withColumn("keep", F.coalesce(F.col("quality_score") >= 0.5, F.lit(False)))
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages and restore their records; digests of both prove the round trip."""
     arc = warc.archive(warc.records(_table(spark, sf_dir, "pages")))
@@ -58,6 +65,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
+    "op5_quality": op5_quality,
     "op6_warc_archive": op6_warc_archive,
     "op7_bpe": op7_bpe,
     "op9_pii": op9_pii,
