@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import bpe, mixing, near_dedup, pii, quality, secrets, warc
+from siftwork.llm import bpe, chat, iblt, mixing, near_dedup, pii, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,18 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "group_id", "keep")
 
 
+def op4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's paragraphs that its previous version lacks, and the other way round."""
+    d = iblt.version_diffs(_table(spark, sf_dir, "documents"))
+    return d.select(
+        F.col("id").alias("doc_id"),
+        F.col("n_paragraphs").cast("long").alias("n_paragraphs"),
+        F.col("prev").alias("prev_id"),
+        F.array_join("added", ",").alias("added"),
+        F.array_join("removed", ",").alias("removed"),
+    )
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score, and whether it passes."""
     docs = _table(spark, sf_dir, "documents")
@@ -52,6 +64,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenized(_table(spark, sf_dir, "documents"))
 
 
+def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trees of all conversations."""
+    return chat.trees(_table(spark, sf_dir, "conversations"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span of personal data in the documents."""
     return pii.find(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -65,9 +82,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
+    "op4_versions": op4_versions,
     "op5_quality": op5_quality,
     "op6_warc_archive": op6_warc_archive,
     "op7_bpe": op7_bpe,
+    "op8_chat_trees": op8_chat_trees,
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
 }
@@ -86,6 +105,18 @@ ORACLE_SQL: dict[str, str] = {
         c as (select doc_id, source, (hi // 1000000 - (hi - rate) // 1000000)::int as n from p)
         select doc_id, source, unnest(range(1, n + 1))::int as copy_no from c where n > 0
     """,
+    "op4_versions": """
+        with lines as (select doc_id, unnest(string_split(text, chr(10))) as p from documents),
+        d as (select distinct doc_id, ('0x' || substr(md5(p), 1, 15))::bigint as digest from lines where length(trim(p, ' ')) > 0),
+        s as (select i.doc_id, list_sort(coalesce(list(d.digest) filter (d.digest is not null), [])) as ds from (select distinct doc_id from documents) i left join d on i.doc_id = d.doc_id group by i.doc_id),
+        l as (select doc_id, lag(doc_id) over (partition by digest order by doc_id) as prev from d),
+        c as (select doc_id, prev, count(*) as n from l where prev is not null group by all),
+        v as (select doc_id, prev from c qualify row_number() over (partition by doc_id order by n desc, prev desc) = 1)
+        select s.doc_id, len(s.ds)::bigint as n_paragraphs, v.prev as prev_id,
+               case when v.prev is not null then array_to_string(list_filter(s.ds, lambda x: not list_contains(o.ds, x)), ',') end as added,
+               case when v.prev is not null then array_to_string(list_filter(o.ds, lambda x: not list_contains(s.ds, x)), ',') end as removed
+        from s left join v on s.doc_id = v.doc_id left join s o on v.prev = o.doc_id
+    """,
     "op6_warc_archive": r"""
         with b as (select page_id, coalesce(url, '') as url, coalesce(html, '') as body from pages),
         h as (
