@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import bpe, chat, iblt, mixing, near_dedup, pii, quality, secrets, warc
+from siftwork.llm import additive, bpe, chat, iblt, mixing, near_dedup, pii, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's ten nearest others."""
+    n = additive.neighbours(_table(spark, sf_dir, "embeddings"), k=10)
+    return n.select(F.col("id").alias("vec_id"), "rank", F.col("neighbour").alias("neighbour_id"), "distance")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weighted by the root of their size, at the input's size."""
     return mixing.mix(_table(spark, sf_dir, "documents"), alpha=0.5, seed=7)
@@ -80,6 +86,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_versions": op4_versions,
