@@ -105,3 +105,8 @@ def with_feedback(score: Column, multiplier: Column) -> Column:
 def efficiency(score: Column, tokens: Column) -> Column:
     """Score per token; 0 without tokens."""
     return F.when(tokens > 0, (score.cast("float").cast("double") / tokens).cast("float")).otherwise(f32(0))
+
+
+def budget_part(total: Column, share: float) -> Column:
+    """A layer's tokens of a column of budgets: the single-precision product, cut off."""
+    return F.floor((total.cast("float") * f32(share)).cast("double")).cast("long")
