@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,16 @@ def simhash(df: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, simhash bigint")
 
 
+def simhash_column(text: Column, k: int = SHINGLE) -> Column:
+    """The fingerprint as a column; null texts have none."""
+
+    @F.pandas_udf("bigint")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else fingerprint(t, k) for t in texts], dtype="Int64")
+
+    return run(text.cast("string"))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -77,8 +77,8 @@ def format_stats(s: PackStats) -> str:
     rows += [("Files selected", s.files_selected), ("Tokens used", f"{s.tokens_used} / {s.tokens_budget} ({share:.1f}%)"), ("Compression ratio", f"{s.compression_ratio:.2f}x")]
     if s.solver_used:
         rows.append(("Solver", s.solver_used))
-    title = "Context Window Optimizer — Pack Stats"
-    return "\n".join([title, "─" * 38, *[f"  {k + ':':<20}{v}" for k, v in rows]]) + "\n"
+    title = "Pack Stats"
+    return "\n".join([title, "─" * len(title), *[f"  {k + ':':<20}{v}" for k, v in rows]]) + "\n"
 
 
 def pack_stats(scanned: DataFrame, deduped: DataFrame, near: DataFrame, selected: DataFrame, budget: int) -> DataFrame:

@@ -97,7 +97,7 @@ def analyze(source: str | None, language: str | None, max_bytes: int = MAX_BYTES
             imports += [(block.start(1) + m.start(), _name(m.group())) for m in _GO_SPEC.finditer(block.group(1))]
     return {
         "signatures": [{"kind": k, "text": t, "line": line(at)} for at, k, t in sorted(found)],
-        "imports": [{"raw_path": p, "line": line(at)} for at, p in sorted(imports) if p],
+        "imports": [{"raw_path": p, "line": line(at)} for at, p in sorted(imports, key=lambda x: x[0]) if p],
     }
 
 

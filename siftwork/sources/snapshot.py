@@ -51,7 +51,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def save(entries: DataFrame, folder: str, root: str, opts: ScanOptions) -> str:
-    """Write the rows to a new version below ``folder`` and then point the manifest at it; readers see the old or the new one. Gives the version's path."""
+    """Write the rows to a new version below ``folder`` and then point the manifest at it; a reader that meets neither scans anew. Gives the version's path."""
     spark = entries.sparkSession
     version = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
     entries.write.parquet(version)
