@@ -46,12 +46,12 @@ def rates(
         table = docs.sparkSession.createDataFrame(pairs, "source string, weight double")
         s = s.join(table, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     every = Window.partitionBy()
-    per_size = F.col("weight") / F.col("size").cast("double")
+    per_size = F.try_divide(F.col("weight"), F.col("size").cast("double"))
     if keep_all:
-        scale = F.lit(1.0) / F.min(F.when((F.col("size") > 0) & (F.col("weight") > 0), per_size)).over(every)
+        scale = F.try_divide(F.lit(1.0), F.min(F.when((F.col("size") > 0) & (F.col("weight") > 0), per_size)).over(every))
     else:
         whole = F.lit(float(total)) if total is not None else F.sum("size").over(every).cast("double")
-        scale = whole / F.sum("weight").over(every)
+        scale = F.try_divide(whole, F.sum("weight").over(every))
     rate = F.when(F.col("size") > 0, F.round(per_size * scale * UNIT)).when(F.lit(weights is None) | (F.col("weight") > 0), F.lit(float(UNIT))).otherwise(F.lit(0.0))
     return s.select("source", "size", "weight", F.coalesce(rate, F.lit(0.0)).cast("long").alias("rate"))
 
