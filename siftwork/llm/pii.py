@@ -27,13 +27,21 @@ N = len(LABELS)
 SPACE = re.compile(r"\s+")
 
 # A token is split from what is glued to its ends, so that a mark or a quote neither hides nor joins a span.
-_CORE = re.compile(r"^[^\w+(@]*(.*?)[^\w)]*$", re.S)
+_CORE = re.compile(r"[^\w+(@]*(.*?)[^\w)]*$", re.S)
 
 
 def core(token: str) -> tuple[int, int]:
-    """Begin and end of the token without the punctuation around it; the whole token where nothing else is left."""
+    """Begin and end of the token without the punctuation around it; the whole token where nothing else is left.
+
+    Brackets stay around three digits, as in an area code, and where more follows them.
+    """
     m = _CORE.match(token)
     a, b = m.span(1) if m else (0, len(token))
+    if token[a : a + 1] == "(":
+        close = token.find(")", a, b)
+        if close < 0 or (close == b - 1 and not (close - a == 4 and token[a + 1 : close].isdigit())):
+            m = _CORE.match(token, a + 1, b if close < 0 else close)
+            a, b = m.span(1) if m else (a, b)
     if token[b - 1 : b] == ")" and "(" not in token[a:b]:
         b = a + len(token[a:b].rstrip(")"))
     return (a, b) if b > a else (0, len(token))
