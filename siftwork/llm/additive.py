@@ -31,11 +31,19 @@ QUERY_BLOCK, ROW_BLOCK = 8192, 16384
 
 @dataclass
 class Quantiser:
-    """``books``: (books, words, dimensions). ``probes[a]``: the first codewords whose lists the queries of list ``a`` score. ``depth``: the share of scored rows that is ranked exactly."""
+    """``books``: (books, words, dimensions). ``probes[a]``: the first codewords whose lists the queries of list ``a`` score. ``depth``: the share of scored rows that is ranked exactly. ``near[a]``: all lists by their distance from list ``a``."""
 
     books: np.ndarray
     probes: list[np.ndarray]
     depth: float
+    near: np.ndarray
+
+    def widened(self, sizes: dict[int, int], least: int) -> Quantiser:
+        """With so many more of the next lists that every query meets ``least`` rows, if there are as many."""
+        n = np.array([sizes.get(i, 0) for i in range(len(self.near))])
+        have = np.cumsum(n[self.near], axis=1)
+        need = np.minimum((have < min(least, int(n.sum()))).sum(axis=1) + 1, len(n))
+        return Quantiser(self.books, [np.sort(self.near[a, : max(len(p), need[a])]) for a, p in enumerate(self.probes)], self.depth, self.near)
 
     def table(self, q: np.ndarray) -> np.ndarray:
         """Inner products of queries with all codewords: (queries, books * words)."""
@@ -115,7 +123,7 @@ def _tuned(book: np.ndarray, x: np.ndarray, k: int, keep: float, r: np.random.Ra
     ask = r.permutation(len(x))[:512]
     k = min(k, len(x) - 1)
     if k < 1:
-        return Quantiser(book, [np.arange(words)] * words, 1.0)
+        return Quantiser(book, [np.arange(words)] * words, 1.0, near)
     dist = (x * x).sum(axis=1)[None] - 2 * x[ask] @ x.T
     dist[np.arange(len(ask)), ask] = np.inf
     true = np.argsort(dist, axis=1)[:, :k]
@@ -128,7 +136,7 @@ def _tuned(book: np.ndarray, x: np.ndarray, k: int, keep: float, r: np.random.Ra
     place = np.empty(near_to.shape, np.int64)
     np.put_along_axis(place, np.argsort(near_to, axis=1), np.arange(len(x))[None].repeat(len(ask), 0), axis=1)
     depth = float(np.quantile(np.take_along_axis(place, true, axis=1), keep, method="higher") + 1) / len(x)
-    return Quantiser(book, probes, min(1.0, depth))
+    return Quantiser(book, probes, min(1.0, depth), near)
 
 
 def search_block(q: Quantiser, queries: np.ndarray, ids: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, norms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +158,9 @@ def search_block(q: Quantiser, queries: np.ndarray, ids: np.ndarray, row_ids: np
             best = best[row_ids[best] != ids[i]]
             diff = rows[best].astype(np.float64) - queries[i]
             exact = np.einsum("ij,ij->i", diff, diff)
-            top = np.lexsort((row_ids[best], exact))[:k]
+            order = np.lexsort((row_ids[best], exact))
+            # Of rows that share an id the closest stands for all.
+            top = order[np.sort(np.unique(row_ids[best[order]], return_index=True)[1])[:k]]
             out.append((np.full(len(top), i), row_ids[best[top]], exact[top]))
     if not out:
         return np.zeros(0, np.int64), row_ids[:0], np.zeros(0)
@@ -190,13 +200,13 @@ def neighbours(
     v = v.filter(F.size("v") == shape["d"]).select("id", F.col("v").cast("array<float>").alias("v"))
     sample = v.orderBy(F.xxhash64("id", "v"), "id").limit(train_rows).toArrow()
     q = train(_matrix(sample.column("v")), books, words, k=k, keep=keep)
-    shared = spark.sparkContext.broadcast(q)
+    books_only = spark.sparkContext.broadcast(q.books)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qq = shared.value
+        made = books_only.value
         for b in batches:
-            codes = encode(qq.books, _matrix(b.column(1)))
-            hat = decode(qq.books, codes)
+            codes = encode(made, _matrix(b.column(1)))
+            hat = decode(made, codes)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array((hat * hat).sum(axis=1).astype(np.float32)), pa.array(codes[:, 0].astype(np.int32))],
                 names=["id", "v", "codes", "norm", "list"],
@@ -206,6 +216,8 @@ def neighbours(
     # At most as many rows as there are first codewords.
     sizes = {r["list"]: r["count"] for r in rows.groupBy("list").count().collect()}
     n_rows = sum(sizes.values())
+    q = q.widened(sizes, 5 * k + 1)
+    shared = spark.sparkContext.broadcast(q)
     # Query blocks are runs of lists that lie near each other; a list with more rows than a block is split.
     order = [int(i) for i in np.argsort((q.books[0] @ np.linalg.svd(q.books[0] - q.books[0].mean(axis=0), full_matrices=False)[2][0]))]
     groups: list[list[int]] = [[]]
