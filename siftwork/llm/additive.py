@@ -154,7 +154,8 @@ def search_block(q: Quantiser, queries: np.ndarray, ids: np.ndarray, row_ids: np
         depth = min(len(on), int(np.ceil(q.depth * len(rows))) + 4 * k)
         for i in np.flatnonzero(home == a):
             score = norm - 2 * tables[i].take(own).sum(axis=0)
-            best = on[np.argpartition(score, depth - 1)[:depth]] if depth < len(on) else on
+            # With all that tie with the last of them, so that equal vectors rank by id.
+            best = on[score <= np.partition(score, depth - 1)[depth - 1]] if depth < len(on) else on
             best = best[row_ids[best] != ids[i]]
             diff = rows[best].astype(np.float64) - queries[i]
             exact = np.einsum("ij,ij->i", diff, diff)
