@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,18 +75,37 @@ def lsh_bands(fp: Column, n: int = BANDS) -> Column:
     return F.array(*[F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit(mask)).cast("int") for i in range(n)])
 
 
+def _masks(threshold: int, bands: int) -> list[int]:
+    """Bits of which all must agree, in at least one mask, for a pair to be a candidate.
+
+    Four bands find every pair within three bits, and so does any three of six blocks, with buckets 65,536
+    times smaller; these stand in for the bands where they find the same.
+    """
+    if bands == 4 and threshold <= 3:
+        cuts = [0, 11, 22, 33, 44, 54, 64]
+        blocks = [((1 << (q - p)) - 1) << p for p, q in itertools.pairwise(cuts)]
+        found = [x | y | z for x, y, z in itertools.combinations(blocks, 3)]
+    else:
+        width = 64 // bands
+        found = [((1 << min(width, 16)) - 1) << (i * width) for i in range(bands)]
+    return [m - (1 << 64) if m >> 63 else m for m in found]
+
+
 def near_pairs(prints: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """``a``, ``b`` (a < b), ``distance``: keys whose fingerprints share a band and differ in at most ``threshold`` bits.
 
     Null fingerprints match nothing.
     """
-    p = prints.filter("simhash is not null").select("key", "simhash", F.posexplode(lsh_bands(F.col("simhash"), bands)).alias("band", "value"))
-    left, right = p.select(F.col("key").alias("a"), F.col("simhash").alias("x"), "band", "value"), p.select(F.col("key").alias("b"), F.col("simhash").alias("y"), F.col("band").alias("band2"), F.col("value").alias("value2"))
-    met = left.join(right, (F.col("band") == F.col("band2")) & (F.col("value") == F.col("value2")) & (F.col("a") < F.col("b")) & (hamming(F.col("x"), F.col("y")) <= threshold))
-    # The pair is told by the first band that both share.
-    other = [F.shiftrightunsigned(F.col("x").bitwiseXOR(F.col("y")), i * (64 // bands)).bitwiseAND(F.lit((1 << min(64 // bands, 16)) - 1)) for i in range(bands)]
-    first = F.coalesce(*[F.when(o == 0, F.lit(i)) for i, o in enumerate(other)])
-    return met.filter(F.col("band") == first).select("a", "b", hamming(F.col("x"), F.col("y")).alias("distance"))
+    masks = _masks(threshold, bands)
+    keys = F.array(*[F.col("simhash").bitwiseAND(F.lit(m)) for m in masks])
+    p = prints.filter("simhash is not null").select("key", "simhash", F.posexplode(keys).alias("mask", "value"))
+    left = p.select(F.col("key").alias("a"), F.col("simhash").alias("x"), "mask", "value")
+    right = p.select(F.col("key").alias("b"), F.col("simhash").alias("y"), F.col("mask").alias("mask2"), F.col("value").alias("value2"))
+    met = left.join(right, (F.col("mask") == F.col("mask2")) & (F.col("value") == F.col("value2")) & (F.col("a") < F.col("b")) & (hamming(F.col("x"), F.col("y")) <= threshold))
+    # The pair is told by the first mask on which both agree.
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])
+    return met.filter(F.col("mask") == first).select("a", "b", hamming(F.col("x"), F.col("y")).alias("distance"))
 
 
 def near_links(prints: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS) -> DataFrame:

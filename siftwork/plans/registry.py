@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwork.functions import paths, scores, text
+from siftwork.functions import bpe_count, paths, scores, text
 from siftwork.operators import dedup, graph, history, ranking, render, scan, score, select, structure
 from siftwork.operators import feedback as fb
 from siftwork.plans import tables as T
@@ -36,6 +36,12 @@ def token_estimate(spark, d):
     return _docs(spark, d).select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
+@query
+def exact_bpe_count(spark, d):
+    """Exact token counts; SQL has no such function."""
+    return _docs(spark, d).select("doc_id", bpe_count.exact_tokens(F.col("text")).alias("tokens"))
+
+
 @query
 def content_md5(spark, d):
     return _docs(spark, d).select("doc_id", F.md5("text").alias("digest"))

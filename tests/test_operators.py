@@ -1,6 +1,7 @@
 """Duplicates, graph, structure, history, scans, rendering, feedback, snapshots."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,17 @@ def test_near_groups_are_transitive(spark):
     assert rows(dedup.near_groups(p.filter("key > 3"))) == []
 
 
+@pytest.mark.parametrize("threshold", [0, 3, 6])
+def test_pairs_against_all(spark, threshold):
+    r = random.Random(threshold)
+    base = [r.getrandbits(64) for _ in range(20)]
+    prints = [b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 7))) for b in base for _ in range(8)]
+    bands = lambda x: [x >> 16 * i & 0xFFFF for i in range(4)]
+    want = {(i, j, (prints[i] ^ prints[j]).bit_count()) for j in range(len(prints)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= threshold and any(x == y for x, y in zip(bands(prints[i]), bands(prints[j]), strict=True))}
+    df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(prints)], "key int, simhash bigint")
+    assert set(rows(dedup.near_pairs(df, threshold))) == want
+
+
 def test_fingerprints(spark):
     assert dedup.fingerprint("") == dedup.fingerprint(" \n") == 0
     assert dedup.fingerprint("a b c d") == dedup.fingerprint("a  b\nc d") != dedup.fingerprint("a b c e")
