@@ -27,6 +27,8 @@ TRAIN_ROWS = 8192
 #: The share of the true neighbours that each of both approximations has to keep on the sample.
 KEEP = 0.97
 QUERY_BLOCK, ROW_BLOCK = 8192, 16384
+#: The largest plan of blocks that is broadcast; beyond it, rows are shuffled to it by list.
+PLAN_BYTES = 8 << 20
 
 
 @dataclass
@@ -232,7 +234,9 @@ def neighbours(
     chunks = max(1, -(-n_rows // ROW_BLOCK))
     plan = spark.createDataFrame([(i, group_of[i], salts[group_of[i]], asked_by[i], [salts[g] for g in asked_by[i]]) for i in range(len(order))], "l int, own int, n_salts int, asked array<int>, asked_salts array<int>")
     part = F.pmod(F.xxhash64("id", "v"), F.lit(chunks)).cast("int")
-    rows = rows.join(F.broadcast(plan), F.col("list") == F.col("l"))
+    # The plan grows with the number of query blocks, so it is broadcast only while it is small.
+    plan_bytes = 8 * sum(len(a) for a in asked_by) + 24 * len(asked_by)
+    rows = rows.join(F.broadcast(plan) if plan_bytes <= PLAN_BYTES else plan, F.col("list") == F.col("l"))
     asks = rows.select(F.col("id").alias("ask"), F.col("v").alias("q"), F.col("own").alias("g"), F.pmod(F.xxhash64("v", "id"), F.col("n_salts")).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"))
     to = F.explode(F.flatten(F.transform(F.arrays_zip("asked", "asked_salts"), lambda z: F.transform(F.sequence(F.lit(0), z["asked_salts"] - 1), lambda s: F.struct(z["asked"].alias("g"), s.alias("s"))))))
     answers = rows.select(F.col("id").alias("row"), F.col("v").alias("x"), "codes", "norm", to.alias("t"), part.alias("c")).select("row", "x", "codes", "norm", "t.g", "t.s", "c")
