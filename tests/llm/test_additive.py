@@ -77,3 +77,10 @@ def test_odd_rows(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)], "vec_id bigint, embedding array<float>")
     top = [(r["id"], r["neighbour"]) for r in additive.neighbours(same, k=1).collect()]
     assert sorted(top) == [(i, 1 if i == 0 else 0) for i in range(30)]
+
+
+def test_a_plan_too_large_to_broadcast(spark, monkeypatch):
+    df = frame(spark, clustered(300, 8))
+    small = sorted(map(tuple, additive.neighbours(df, k=3).collect()))
+    monkeypatch.setattr(additive, "PLAN_BYTES", -1)
+    assert sorted(map(tuple, additive.neighbours(df, k=3).collect())) == small
