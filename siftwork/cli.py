@@ -1,4 +1,4 @@
-"""Command line: ``python -m siftwork.cli pack | index | feedback submit | feedback weights | feedback stats | watch``."""
+"""Command line: ``python -m siftwork.cli pack | index | feedback submit | feedback weights | feedback stats | watch | serve``."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pathlib import Path
 from siftwork import api
 from siftwork.config import Config
 from siftwork.errors import SiftworkError
+from siftwork.serve import serve
 from siftwork.session import local_session
 
 
@@ -26,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     pk.add_argument("-s", "--signatures", action="store_true")
     sub.add_parser("index", parents=[repo], help="count files and tokens")
     sub.add_parser("watch", parents=[repo], help="report changed files")
+    sub.add_parser("serve", help="answer tool calls over standard input and output")
     fb = sub.add_parser("feedback").add_subparsers(dest="action", required=True)
     sb = fb.add_parser("submit", parents=[repo])
     sb.add_argument("-s", "--session", required=True)
@@ -37,6 +39,9 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(args: argparse.Namespace, spark) -> str:
+    if args.command == "serve":
+        serve(spark)
+        return ""
     root = args.repo if "://" in args.repo else os.path.realpath(args.repo)
     config = Config.load(args.config) if args.config else Config.find(root)
     if args.command == "pack":

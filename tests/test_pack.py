@@ -1,5 +1,7 @@
 """The pipeline over a small repository, its snapshots, feedback and command line; the stream of changes."""
 
+import io
+import json
 import os
 import subprocess
 import time
@@ -13,6 +15,7 @@ from siftwork.errors import ConfigError, EmptyCorpusError, FeedbackError, WatchE
 from siftwork.functions.scores import Budget
 from siftwork.plans.pack import pack
 from siftwork.sources import files
+from siftwork.serve import serve
 from siftwork.sources.feedback_store import Store
 from siftwork.streaming import watch
 
@@ -128,6 +131,27 @@ def test_command_line(spark, repo, capsys):
         cli.parser().parse_args(["pack", "-o", "l9"])
 
 
+def test_server(spark, repo):
+    calls = [
+        {"id": 1, "method": "initialize"},
+        {"method": "notifications/initialized"},
+        {"id": 2, "method": "tools/list"},
+        {"id": 3, "method": "tools/call", "params": {"name": "index_stats", "arguments": {"repo": str(repo)}}},
+        {"id": 4, "method": "tools/call", "params": {"name": "submit_feedback", "arguments": {"repo": str(repo), "session_id": "no", "llm_response": "x"}}},
+        {"id": 5, "method": "tools/call", "params": {"name": "nope"}},
+        {"id": 6, "method": "tools/call", "params": {"name": "index_stats"}},
+        {"id": 7, "method": "nope"},
+    ]
+    out = io.StringIO()
+    serve(spark, io.StringIO("\n".join([*map(json.dumps, calls), "", "{", "[]"])), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [g["id"] for g in got] == [1, 2, 3, 4, 5, 6, 7, None, None]
+    assert len(got[1]["result"]["tools"]) == 4
+    assert "Files: 8" in got[2]["result"]["content"][0]["text"] and not got[2]["result"]["isError"]
+    assert got[3]["result"]["isError"]
+    assert [g["error"]["code"] for g in got[4:]] == [-32602, -32602, -32601, -32700, -32600]
+
+
 def test_config(tmp_path):
     assert Config.load(tmp_path / "none.toml") == Config()
     (tmp_path / "siftwork.toml").write_text('max_file_tokens = 5\n[selection]\nsolver = "kkt"\n[selection.diversity]\nenabled = false\n[weights]\nrecency = 1.0\n')
