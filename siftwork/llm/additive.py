@@ -141,6 +141,18 @@ def _tuned(book: np.ndarray, x: np.ndarray, k: int, keep: float, r: np.random.Ra
     return Quantiser(book, probes, min(1.0, depth), near)
 
 
+def _closest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` least distances, ties by id; of rows that share an id the closest stands for all."""
+    some = min(len(dist), 4 * k)
+    while True:
+        few = np.flatnonzero(dist <= np.partition(dist, some - 1)[some - 1]) if some < len(dist) else np.arange(len(dist))
+        order = few[np.lexsort((ids[few], dist[few]))]
+        top = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
+        if len(top) == k or len(few) == len(dist):
+            return top
+        some = min(len(dist), 4 * some)
+
+
 def search_block(q: Quantiser, queries: np.ndarray, ids: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, norms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one block of rows: for each query (its place), row ids and squared distances of the best ``k``. Equal ids are never neighbours."""
     lists = codes[:, 0]
@@ -161,9 +173,7 @@ def search_block(q: Quantiser, queries: np.ndarray, ids: np.ndarray, row_ids: np
             best = best[row_ids[best] != ids[i]]
             diff = rows[best].astype(np.float64) - queries[i]
             exact = np.einsum("ij,ij->i", diff, diff)
-            order = np.lexsort((row_ids[best], exact))
-            # Of rows that share an id the closest stands for all.
-            top = order[np.sort(np.unique(row_ids[best[order]], return_index=True)[1])[:k]]
+            top = _closest(exact, row_ids[best], k)
             out.append((np.full(len(top), i), row_ids[best[top]], exact[top]))
     if not out:
         return np.zeros(0, np.int64), row_ids[:0], np.zeros(0)
