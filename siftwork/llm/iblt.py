@@ -109,6 +109,44 @@ def previous_versions(sets: DataFrame) -> DataFrame:
     return pairs.groupBy("id").agg(F.max(F.struct("n", "prev")).alias("m")).select("id", F.col("m.prev").alias("prev"))
 
 
+def closest_versions(sets: DataFrame) -> DataFrame:
+    """``id``, ``prev``: of all earlier ids the one that shares the most paragraphs; on a tie the one that ``previous_versions`` names, else the greatest.
+
+    ``sets`` is read several times, so it should be stored. Ids with the same shared paragraphs form a group, and pairs are counted once for a group. An id
+    that shares more than the ``shared`` of ``previous_versions`` holds one of all but ``shared`` of the
+    paragraphs that were met before; the rarest of these are looked up, so the choice is exact at any frequency.
+    """
+    lag = previous_versions(sets)
+    one = sets.select("id", F.explode("digests").alias("digest"))
+    often = one.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1").drop("n")
+    met = one.join(often, "digest").select("id", "digest", (F.col("id") > F.col("first")).alias("before"))
+    met = stored(met.groupBy("id").agg(F.array_sort(F.collect_list("digest")).alias("digests"), F.array_sort(F.collect_list(F.when(F.col("before"), F.col("digest")))).alias("known")), "met")
+    group = F.min("id").over(Window.partitionBy(F.md5(F.array_join("digests", ","))))
+    member = stored(met.select("id", group.alias("gid")), "groups")
+    group = stored(met.join(member.filter("id = gid"), "id").select(F.col("id").alias("gid"), F.col("digests").alias("has")), "shared")
+    post = group.select("gid", F.explode("has").alias("digest"))
+    count = post.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    old = met.select(F.col("id").alias("prev"), F.col("digests").alias("has"))
+    asks = lag.join(met, "id").join(old, "prev").select("id", "prev", "known", F.size(F.array_intersect("known", "has")).alias("shared"))
+    asks = stored(asks, "asks")
+    open_ = asks.filter(F.size("known") > F.col("shared"))
+    rare = open_.select("id", "shared", F.explode("known").alias("digest")).join(count, "digest")
+    rare = rare.groupBy("id", "shared").agg(F.array_sort(F.collect_list(F.struct("n", "digest"))).alias("r"))
+    rare = rare.select("id", F.explode(F.expr("slice(r, 1, size(r) - shared)")).alias("r")).select("id", F.col("r.digest").alias("digest"))
+    pairs = rare.join(post, "digest").filter("gid < id").select("id", "gid")
+    pairs = pairs.join(open_.select("id", "known", "shared"), "id").join(group, "gid")
+    pairs = pairs.select("id", "gid", "shared", F.size(F.array_intersect("known", "has")).alias("n")).filter("n > shared")
+    best = pairs.groupBy("id").agg(F.max("n").alias("most"))
+    # Pairs are found anew for the ties, so that not every one of them is stored.
+    ties = pairs.join(best, "id").filter("n = most").select("gid", "id").distinct()
+    # The last member of a group that comes before the id that asks.
+    at = ties.select("gid", "id", F.lit(0).alias("k")).unionByName(member.select("gid", "id", F.lit(1).alias("k")))
+    w = Window.partitionBy("gid").orderBy("id", "k").rowsBetween(Window.unboundedPreceding, 0)
+    last = at.withColumn("m", F.last(F.when(F.col("k") == 1, F.col("id")), ignorenulls=True).over(w)).filter("k = 0")
+    better = last.groupBy("id").agg(F.max("m").alias("better"))
+    return asks.select("id", "prev").join(better, "id", "left").select("id", F.coalesce("better", "prev").alias("prev"))
+
+
 def _sketches(cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,13 +216,14 @@ def differences(sets: DataFrame, pairs: DataFrame, cells: int = CELLS) -> DataFr
         cells *= GROWTH
 
 
-def version_diffs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
+def version_diffs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS, closest: bool = False) -> DataFrame:
     """``id``, ``n_paragraphs``, ``prev``, ``added``, ``removed``: every non-null id, with what changed since its previous version.
 
+    The previous version is that of ``previous_versions``, or with ``closest`` that of ``closest_versions``.
     The last three are null where no earlier id shares a paragraph. Columns other than the id and the text are ignored;
     an empty table gives an empty result.
     """
     sets = stored(paragraph_sets(docs, id_col, text_col), "paragraphs")
-    pairs = stored(previous_versions(sets), "versions")
+    pairs = stored((closest_versions if closest else previous_versions)(sets), "versions")
     diff = differences(sets, pairs, cells).withColumnRenamed("id", "i")
     return sets.join(diff, F.col("id") == F.col("i"), "left").select("id", F.size("digests").alias("n_paragraphs"), "prev", "added", "removed")

@@ -32,7 +32,15 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's paragraphs that its previous version lacks, and the other way round."""
-    d = iblt.version_diffs(_table(spark, sf_dir, "documents"))
+    return _versions(iblt.version_diffs(_table(spark, sf_dir, "documents")))
+
+
+def op4_closest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against the earlier document that shares the most paragraphs."""
+    return _versions(iblt.version_diffs(_table(spark, sf_dir, "documents"), closest=True))
+
+
+def _versions(d: DataFrame) -> DataFrame:
     return d.select(
         F.col("id").alias("doc_id"),
         F.col("n_paragraphs").cast("long").alias("n_paragraphs"),
@@ -90,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_versions": op4_versions,
+    "op4_closest_versions": op4_closest_versions,
     "op5_quality": op5_quality,
     "op6_warc_archive": op6_warc_archive,
     "op7_bpe": op7_bpe,
@@ -124,6 +133,20 @@ ORACLE_SQL: dict[str, str] = {
                case when v.prev is not null then array_to_string(list_filter(o.ds, lambda x: not list_contains(s.ds, x)), ',') end as removed
         from s left join v on s.doc_id = v.doc_id left join s o on v.prev = o.doc_id
     """,
+    "op4_closest_versions": """
+        with lines as (select doc_id, unnest(string_split(text, chr(10))) as p from documents),
+        d as (select distinct doc_id, ('0x' || substr(md5(p), 1, 15))::bigint as digest from lines where length(trim(p, ' ')) > 0),
+        s as (select i.doc_id, list_sort(coalesce(list(d.digest) filter (d.digest is not null), [])) as ds from (select distinct doc_id from documents) i left join d on i.doc_id = d.doc_id group by i.doc_id),
+        l as (select doc_id, lag(doc_id) over (partition by digest order by doc_id) as prev from d),
+        c as (select doc_id, prev, count(*) as n from l where prev is not null group by all),
+        f as (select doc_id, prev from c qualify row_number() over (partition by doc_id order by n desc, prev desc) = 1),
+        b as (select a.doc_id, e.doc_id as prev, count(*) as n from d a join d e on a.digest = e.digest and e.doc_id < a.doc_id group by all),
+        v as (select b.doc_id, b.prev from b join f on b.doc_id = f.doc_id qualify row_number() over (partition by b.doc_id order by b.n desc, b.prev = f.prev desc, b.prev desc) = 1)
+        select s.doc_id, len(s.ds)::bigint as n_paragraphs, v.prev as prev_id,
+               case when v.prev is not null then array_to_string(list_filter(s.ds, lambda x: not list_contains(o.ds, x)), ',') end as added,
+               case when v.prev is not null then array_to_string(list_filter(o.ds, lambda x: not list_contains(s.ds, x)), ',') end as removed
+        from s left join v on s.doc_id = v.doc_id left join s o on v.prev = o.doc_id
+    """,
     "op6_warc_archive": r"""
         with b as (select page_id, coalesce(url, '') as url, coalesce(html, '') as body from pages),
         h as (

@@ -1,9 +1,11 @@
 import hashlib
+import random
 
 import numpy as np
 
-from siftwork.llm import iblt
+from siftwork.llm import iblt, queries
 from tests.llm.helpers import crowded, empty, odd, rows
+from tools.compare import compare
 
 
 def digest(p):
@@ -67,3 +69,34 @@ def test_odd_rows(spark):
 def test_ids_may_be_strings(spark):
     df = spark.createDataFrame([("a", "x\ny"), ("b", "x")], "doc_id string, text string")
     assert rows(iblt.version_diffs(df).select("id", "prev")) == [("a", None), ("b", "a")]
+
+
+def test_closest_version_against_all_earlier_ids(spark):
+    """The lines of documents recur one by one in others, some lines are in nearly all, and there are copies."""
+    r = random.Random(3)
+    docs = [(1, "a\nb\nc\nd"), (2, "a"), (3, "b\nx"), (4, "c"), (5, "a\nb\nc\nd")]
+    for i in range(10, 400):
+        if r.random() < 0.3:
+            lines = r.choice(docs)[1].split("\n")
+        else:
+            lines = ["license"] * r.choice([0, 1, 1]) + [f"hot {r.randint(0, 4)}" for _ in range(r.randint(0, 3))] + [f"line {int(r.random() ** 2 * 300)}" for _ in range(r.randint(0, 8))]
+        docs.append((i * 50, "\n".join(lines + ([f"own {i}"] if r.random() < 0.5 else []))))
+    sets = {i: {p for p in t.split("\n") if p} for i, t in docs}
+    first = {i: p for i, _, p, *_ in brute(docs)}
+    want = []
+    for i, s in sets.items():
+        shared = {j: len(s & sets[j]) for j in sets if j < i and s & sets[j]}
+        want.append((i, max(shared, key=lambda j: (shared[j], j == first[i], j)) if shared else None))
+    assert sum(first[i] != j for i, j in want) > 20
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = iblt.version_diffs(df, closest=True)
+    assert rows(got.select("id", "prev")) == sorted(want, key=repr)
+    by = {x["id"]: x for x in got.collect()}
+    assert by[5]["prev"] == 1 and by[5]["added"] == [] and by[5]["removed"] == []
+    assert rows(iblt.version_diffs(crowded(spark), closest=True)) == rows(iblt.version_diffs(odd(spark), closest=True))
+    assert iblt.version_diffs(empty(spark), closest=True).count() == 0
+
+
+def test_closest_query_matches_sql(spark, small):
+    said = compare(spark, small, "op4_closest_versions", queries.QUERIES["op4_closest_versions"], queries.ORACLE_SQL["op4_closest_versions"])
+    assert said.startswith("ok"), said
