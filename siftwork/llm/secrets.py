@@ -3,6 +3,7 @@
 Candidate strings are cut into runs of each character class. A window slides over a run; the counts of its characters,
 and with them the entropy, are updated by the one character that enters and the one that leaves.
 Runs whose best window reaches the class's threshold are reported unless an allow-list names them.
+Runs with few digits must look unlike words as well.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ CANDIDATE = re.compile(r"(?<!\w)[A-Za-z0-9+/_-]{16,}+={0,2}(?!\w)")
 
 @dataclass(frozen=True)
 class CharClass:
-    """A window must hold ``digits`` digits, ``lower`` lower-case and ``upper`` upper-case letters, and ``letters`` of either."""
+    """A window must hold ``digits`` digits, ``lower`` lower-case and ``upper`` upper-case letters, and ``letters`` of either.
+
+    With ``unlike_words`` the run's letters must not follow each other as in words; such a class needs no digits.
+    """
 
     name: str
     run: str
@@ -32,6 +36,7 @@ class CharClass:
     letters: int = 2
     lower: int = 0
     upper: int = 0
+    unlike_words: bool = False
 
 
 CLASSES = (
@@ -39,7 +44,19 @@ CLASSES = (
     CharClass("upper", r"[A-Z0-9]{16,}", 16, 2.9),
     CharClass("lower", r"[a-z0-9]{16,}", 16, 3.1, digits=3),
     CharClass("mixed", r"[A-Za-z0-9+/_-]{20,}", 20, 3.6, lower=2, upper=2),
+    CharClass("upper", r"[A-Z0-9]{16,}", 16, 2.9, digits=0, unlike_words=True),
+    CharClass("lower", r"[a-z0-9]{16,}", 16, 2.8, digits=0, unlike_words=True),
+    CharClass("mixed", r"[A-Za-z0-9+/_-]{16,}", 16, 3.2, digits=0, lower=1, upper=1, unlike_words=True),
+    CharClass("mixed", r"[A-Za-z0-9]{16,}", 16, 3.2, digits=0, lower=1, upper=1, unlike_words=True),
+)
+
+#: Pairs of letters that are common in words of European languages.
+PAIRS = frozenset(
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ro ri io ic ne me li ll ch ma co om la el be no ce ca ec us ho ot ol di ta na ns tr so ss lo ee oo wh we wi sh pe pr em il ge gh ai im ie ei un ul ut um up ac ad ag am ap av ab ay ow od op os ov po pl pa pi da do ds du ef ep ev ey ex fi fo fa fe fr ga gr go gl gi ig id ia if ir iv iz ke ki ck lu ly lt mo mi mp mb mm mu nc ni nk nn nu ny ob oc og ok rd rm rn rs rt ru ry rk rc rg rr sc sp su sk sl tt tu ts ty tl ub uc ud ue ug ui va vi vo wa wo ye ba bi bl bo br bu by cl cr ct cu cy dr qu au eu eg eb ew ff ft ph pp ps pt sm aw ak pf tz zu zt ht ua ix uo hu gs".split()
 )
+WORDLIKE = 0.65
+#: How often a random pair of letters is a common one.
+BY_CHANCE = len(PAIRS) / 26**2
 
 #: Placeholders, identifiers that are public by nature, and runs in alphabetical order.
 ALLOWED = (r"(?i)example", r"(?i)x{6,}", r"(?i)(?:0123456789|abcdefghij|deadbeef)", r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
@@ -93,13 +110,20 @@ def best_window(run: str, c: CharClass) -> float:
     return best
 
 
+def like_words(run: str) -> bool:
+    """Whether most pairs of neighbouring letters are common ones, and more than chance gives; a step from lower to upper case begins a new word."""
+    pairs = [p for p in map("".join, zip(run, run[1:], strict=False)) if p.isalpha() and not (p[0].islower() and p[1].isupper())]
+    n, common = len(pairs), sum(p.lower() in PAIRS for p in pairs)
+    return common >= WORDLIKE * max(1, n) and common - BY_CHANCE * n >= 2.2 * math.sqrt(BY_CHANCE * (1 - BY_CHANCE) * n)
+
+
 def scan(text: str, rules: Rules = Rules()) -> list[tuple[int, int, str, float]]:
     """Begin, end, class and entropy of each secret in ``text``; a stretch is reported once, by the first class that finds it."""
     classes, allowed = rules.compiled()
     out: list[tuple[int, int, str, float]] = []
     for m in CANDIDATE.finditer(text):
         whole = m.group()
-        if not any("0" <= ch <= "9" for ch in whole) or whole in rules.allowed or any(p.search(whole) for p in allowed):
+        if whole in rules.allowed or any(p.search(whole) for p in allowed):
             continue
         taken: list[tuple[int, int, str, float]] = []
         for c, run in classes:
@@ -108,7 +132,7 @@ def scan(text: str, rules: Rules = Rules()) -> list[tuple[int, int, str, float]]
                 if any(a < y and x < b for x, y, _, _ in taken) or r.group() in rules.allowed:
                     continue
                 h = best_window(r.group(), c)
-                if h >= c.threshold:
+                if h >= c.threshold and not (c.unlike_words and like_words(r.group())):
                     taken.append((a, b, c.name, h))
         out += sorted((m.start() + a, m.start() + b, k, h) for a, b, k, h in taken)
     return out

@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import string
 
 import pytest
 
@@ -58,3 +59,29 @@ def test_odd_rows(spark):
     again = secrets.find(crowded(spark).selectExpr("doc_id", f"concat(text, ' {FOUND[0]}') as text", "id", "row", "tokens"))
     assert rows(again) == rows(got)
     assert secrets.find(empty(spark)).count() == 0
+
+
+KEYS = {
+    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "mixed": string.ascii_letters + string.digits, "letters": string.ascii_letters, "upper": string.ascii_uppercase + string.digits,
+    "lower": string.ascii_lowercase + string.digits, "lower letters": string.ascii_lowercase, "base64": string.ascii_letters + string.digits + "+/", "base64url": string.ascii_letters + string.digits + "_-",
+}
+
+
+@pytest.mark.parametrize("length", [16, 17, 18, 19, 20, 24, 32, 40, 64])
+@pytest.mark.parametrize("kind", sorted(KEYS))
+def test_recall_of_random_keys(kind, length):
+    r = random.Random(f"{kind} {length}")
+    edge = KEYS[kind].replace("+", "").replace("/", "").replace("-", "")
+    keys = [r.choice(edge) + "".join(r.choice(KEYS[kind]) for _ in range(length - 2)) + r.choice(edge) for _ in range(500)]
+    assert sum(bool(secrets.scan(f"key = '{k}'")) for k in keys) >= 0.95 * len(keys)
+
+
+def test_recall_of_access_keys():
+    r = random.Random(2)
+    keys = ["AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) for _ in range(1000)]
+    assert sum(bool(secrets.scan(k)) for k in keys) >= 0.95 * len(keys)
+
+
+@pytest.mark.parametrize("text", ["counterrevolutionaries", "GoogleCloudStorageClientFactory", "getElementsByClassNameForDocument", "path/to/some/directory/with/words", "this-is-a-long-slug-of-words", "MAX_CONNECTION_POOL_SIZE_LIMIT", "AbstractSingletonProxyFactoryBean", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement"])
+def test_words_are_left_alone(text):
+    assert secrets.scan(text) == []
