@@ -59,7 +59,9 @@ WORDLIKE = 0.65
 BY_CHANCE = len(PAIRS) / 26**2
 
 #: Placeholders, identifiers that are public by nature, and runs in alphabetical order.
-ALLOWED = (r"(?i)example", r"(?i)x{6,}", r"(?i)(?:0123456789|abcdefghij|deadbeef)", r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+ALLOWED = (r"^[A-Za-z0-9+/]{30}EXAMPLEKEY$", r"(?i)example", r"(?i)x{6,}", r"(?i)(?:0123456789|abcdefghij|deadbeef)", r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+
+BESIDE = 16
 
 
 @dataclass(frozen=True)
@@ -117,18 +119,37 @@ def like_words(run: str) -> bool:
     return common >= WORDLIKE * max(1, n) and common - BY_CHANCE * n >= 2.2 * math.sqrt(BY_CHANCE * (1 - BY_CHANCE) * n)
 
 
+def _pieces(whole: str, allowed: list[re.Pattern]) -> Iterator[tuple[int, str]]:
+    """Offset and text of what is left of a candidate without its allowed stretches.
+
+    A stretch takes with it the rest of its word, at most ``BESIDE`` characters on either side.
+    """
+    at = 0
+    for a, b in sorted(m.span() for p in allowed for m in p.finditer(whole)):
+        first, last = max(0, a - BESIDE), min(len(whole), b + BESIDE)
+        while a > first and whole[a - 1].isalnum():
+            a -= 1
+        while b < last and whole[b].isalnum():
+            b += 1
+        if a > at:
+            yield at, whole[at:a]
+        at = max(at, b)
+    yield at, whole[at:]
+
+
 def scan(text: str, rules: Rules = Rules()) -> list[tuple[int, int, str, float]]:
     """Begin, end, class and entropy of each secret in ``text``; a stretch is reported once, by the first class that finds it."""
     classes, allowed = rules.compiled()
     out: list[tuple[int, int, str, float]] = []
     for m in CANDIDATE.finditer(text):
         whole = m.group()
-        if whole in rules.allowed or any(p.search(whole) for p in allowed):
+        if whole in rules.allowed:
             continue
         taken: list[tuple[int, int, str, float]] = []
+        pieces = list(_pieces(whole, allowed))
         for c, run in classes:
-            for r in run.finditer(whole):
-                a, b = r.span()
+            for r, at in ((r, at) for at, piece in pieces for r in run.finditer(piece)):
+                a, b = r.start() + at, r.end() + at
                 if any(a < y and x < b for x, y, _, _ in taken) or r.group() in rules.allowed:
                     continue
                 h = best_window(r.group(), c)
