@@ -47,6 +47,21 @@ def core(token: str) -> tuple[int, int]:
     return (a, b) if b > a else (0, len(token))
 
 
+# Separators within a token; the brackets of an area code are none.
+_INNER = re.compile(r"(?:[,;:=|\"'`/\\<>\[\]{}&?#*!$]|\((?!\d{3}\))|(?<!\(\d{3})\))+")
+
+
+def pieces(token: str) -> list[str]:
+    """The token cut at the separators inside of its core: pieces, with what was between them at the odd places."""
+    a, b = core(token)
+    out, at = [], 0
+    for m in _INNER.finditer(token, a, b):
+        if a < m.start() and m.end() < b:
+            out += [token[at : m.start()], m.group()]
+            at = m.end()
+    return [*out, token[at:]]
+
+
 class _Shapes(dict):
     def __missing__(self, code: int) -> str:
         c = chr(code)
@@ -158,6 +173,44 @@ def labelled_rows(seed: int = 5, n: int = 700) -> list[tuple[list[str], list[str
     return rows
 
 
+def glued_rows(seed: int = 6, n: int = 200) -> list[tuple[list[str], list[str]]]:
+    """Rows of pieces as ``pieces`` cuts them from text without blanks, with plain hosts and short addresses, and names, paths and numbers between them."""
+    r = random.Random(seed)
+
+    def name(a: int, b: int) -> str:
+        return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, b)))
+
+    def digits(a: int, b: int) -> str:
+        return "".join(r.choice("0123456789") for _ in range(r.randint(a, b)))
+
+    def email() -> str:
+        return r.choice(["", "", name(1, 6) + "."]) + name(1, 8) + r.choice(["", "", digits(1, 3)]) + "@" + r.choice(["", "", name(1, 5) + "."]) + name(1, 10) + "." + name(2, 4)
+
+    def address() -> str:
+        return ".".join(str(r.choice([r.randint(0, 9), r.randint(0, 255)])) for _ in range(4))
+
+    def phone() -> str:
+        return f"{digits(3, 3)}-{digits(3, 3)}-{digits(4, 4)}"
+
+    def card() -> str:
+        return r.choice("3456") + digits(15, 15)
+
+    def other() -> str:
+        return r.choice([name(1, 10), name(1, 10), digits(1, 9), digits(4, 4), f"{digits(4, 4)}-{digits(2, 2)}-{digits(2, 2)}T{digits(2, 2)}", f"{name(3, 8)}.{name(2, 4)}", f"{digits(1, 1)}.{digits(1, 2)}.{digits(1, 1)}", f"@{name(3, 8)}"])
+
+    makers = {"EMAIL": email, "PHONE": phone, "IP": address, "CARD": card, "O": other}
+    rows = []
+    for _ in range(n):
+        toks: list[str] = []
+        labs: list[str] = []
+        for _ in range(r.randint(1, 5)):
+            kind = r.choice(["EMAIL", "EMAIL", "IP", "IP", "PHONE", "CARD", "O", "O", "O"])
+            toks += [makers[kind](), r.choice([",", ";", ":", "|", '":"', '","', "=", "/", "&", ">,<"])]
+            labs += ["O" if kind == "O" else f"B-{kind}", "O"]
+        rows.append((toks[:-1], labs[:-1]))
+    return rows
+
+
 class Field:
     """A trained chain: weights of features by label, transitions, starts."""
 
@@ -250,7 +303,7 @@ def train(rows: list[tuple[list[str], list[str]]], steps: int = 140, rate: float
 
 @lru_cache(maxsize=2)
 def default_field(seed: int = 5) -> Field:
-    return train(labelled_rows(seed))
+    return train(labelled_rows(seed) + glued_rows(seed + 1))
 
 
 class _Memo(dict):
@@ -260,6 +313,16 @@ class _Memo(dict):
         super().__init__()
         self.field, self.most = field, most
         self.shapes: dict[str, np.ndarray | None] = {}
+        self.cut: dict[str, list[str]] = {}
+
+    def pieces(self, token: str) -> list[str]:
+        if (out := self.cut.get(token)) is None:
+            out = pieces(token)
+            if len(self.cut) >= self.most:
+                self.cut.clear()
+            if len(token) <= 64:
+                self.cut[token] = out
+        return out
 
     def __missing__(self, token: str):
         s = shape(token)
@@ -278,15 +341,21 @@ class _Memo(dict):
 
 
 def spans(field: Field, texts: list[str], memo: _Memo | None = None) -> list[list[tuple[int, int, str]]]:
-    """Begin, end (in characters) and kind of each span of personal data, by text."""
+    """Begin, end (in characters) and kind of each span of personal data, by text.
+
+    What separators join without blanks is cut there; a separator is nothing for certain, so no span goes over it.
+    """
     memo = _Memo(field) if memo is None else memo
     runs: list[tuple[int, list[int]]] = []
     seqs: list[np.ndarray] = []
     tokens: list[list[str]] = []
     for i, text in enumerate(texts):
-        toks = text.split()
+        toks, got = [], []
+        for token in text.split():
+            for k, piece in enumerate(memo.pieces(token)):
+                toks.append(piece)
+                got.append(None if k % 2 else memo[piece])
         tokens.append(toks)
-        got = list(map(memo.__getitem__, toks))
         at = [k for k, s in enumerate(got) if s is not None]
         if not at:
             continue

@@ -81,3 +81,30 @@ def test_long_text(spark):
     t = "nothing here " * 50_000 + "10.20.30.40 " + "and on " * 50_000
     got = pii.find(spark.createDataFrame([(1, t)], "doc_id bigint, text string")).collect()
     assert [(r["value"], r["begin"]) for r in got] == [("10.20.30.40", t.index("10.20"))]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("jane@x.com,bob@y.org", ["jane@x.com", "bob@y.org"]),
+        ('{"email":"a@b.com","ip":"10.0.0.1"}', ["a@b.com", "10.0.0.1"]),
+        ("id=7;mail=jane.doe@mail3.example.com;phone=555-123-4567;card=4111111111111111", ["jane.doe@mail3.example.com", "555-123-4567", "4111111111111111"]),
+        ("http://192.168.10.254:8080/a?user=jane@host-1.net&x=1", ["192.168.10.254", "jane@host-1.net"]),
+        ("10.0.0.1|10.0.0.2|10.0.0.3", ["10.0.0.1", "10.0.0.2", "10.0.0.3"]),
+        ('"+1 (555) 123-4567","jane@x.com"', ["+1 (555) 123-4567", "jane@x.com"]),
+        ("<jane@x.com>,<bob@y.org>", ["jane@x.com", "bob@y.org"]),
+        ("send(jane@x.com)", ["jane@x.com"]),
+        ("1234,5678,9012,3456", []),
+        ("2024-01-15T10:30:00,1,234,567;a=b", []),
+    ],
+)
+def test_glued(text, want):
+    got = pii.spans(FIELD, [text])[0]
+    assert [text[a:b] for a, b, _ in got] == want
+    clean = pii.redact(text, got)
+    assert not any(w in clean for w in want)
+
+
+def test_long_glued_text():
+    text = ",".join(f"user{i}@host-{i % 90}.net" for i in range(5000))
+    assert len(pii.spans(FIELD, [text])[0]) == 5000
