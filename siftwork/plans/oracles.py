@@ -277,6 +277,7 @@ ORACLE_SQL: dict[str, str] = {
     "simhash": f"with {_prints()} select key as doc_id, simhash from prints",
     "lsh_bands": f"with {_prints()} select key as doc_id, (x.i)::int as band, (x.v)::int as value from (select key, unnest([{{'i': 0, 'v': simhash & 65535}}, {{'i': 1, 'v': (simhash >> 16) & 65535}}, {{'i': 2, 'v': (simhash >> 32) & 65535}}, {{'i': 3, 'v': (simhash >> 48) & 65535}}]) as x from prints)",
     "hamming_pairs": f"with {_prints()}, leads as (select min(key) as key, simhash from prints group by simhash), {_PAIRS % ('leads', 8)} select a, b, distance from pairs",
+    "hamming_pairs_documents": f"with {_prints()}, {_PAIRS % ('prints', 8)} select a, b, distance from pairs",
     "near_dup_groups": f"with recursive {_prints()}, {_PAIRS % ('prints', 3)}, {_GROUPS} select key as doc_id, label from groups",
     "near_dup_groups_wide": f"with recursive {_prints()}, {_PAIRS % ('prints', 8)}, {_GROUPS} select key as doc_id, label from groups",
     "near_dedup": f"with recursive {_prints()}, {_PAIRS % ('prints', 8)}, {_GROUPS} select d.doc_id, d.source from documents d left join groups g on g.key = d.doc_id where g.key is null or g.key = g.label",

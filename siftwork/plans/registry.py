@@ -215,6 +215,12 @@ def hamming_pairs(spark, d):
     return dedup.near_pairs(lead, threshold=8)
 
 
+@query
+def hamming_pairs_documents(spark, d):
+    """Pairs of documents whose fingerprints are within eight bits, copies too."""
+    return dedup.near_pairs(stored(_prints(spark, d), "prints"), threshold=8)
+
+
 @query
 def near_dup_groups(spark, d):
     return dedup.near_groups(stored(_prints(spark, d), "prints")).select(F.col("key").alias("doc_id"), "label")

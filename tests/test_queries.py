@@ -32,3 +32,10 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(e.queries())
+
+
+def test_pairs_of_copies_are_told(spark, small):
+    pairs = registry.hamming_pairs_documents(spark, small)
+    prints = registry.simhash(spark, small).filter("simhash is not null").collect()
+    want = sum(1 for x in prints for y in prints if x["doc_id"] < y["doc_id"] and x["simhash"] == y["simhash"])
+    assert want > 0 and pairs.filter("distance = 0").count() == want
