@@ -13,18 +13,24 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm.hashing import chunks
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 WINDOW = 1 << 16
+#: Texts whose tokens are held at once, in bytes; a longer one is held by itself.
+BATCH_BYTES = 8 << 20
 LONG_PIECE = 4096
 #: A match that ends this far before the end of a window can't change with what follows.
 PATTERN_LOOKAHEAD = 3
@@ -180,6 +186,7 @@ class _Pieces(dict):
         return out
 
 
+_SPLIT = regex.compile(PATTERN).findall
 _RUNS = {name: regex.compile(p) for name, p in {"letters": r"\p{L}+", "numbers": r"\p{N}+", "spaces": r"\s+", "others": r"[^\s\p{L}\p{N}]+"}.items()}
 
 
@@ -189,41 +196,39 @@ class TextEncoder:
     def __init__(self, vocab: Vocabulary, pieces: _Pieces | None = None):
         self.vocab = vocab
         self.pieces = _Pieces(vocab) if pieces is None else pieces
-        self.split = regex.compile(PATTERN)
         self.tail = ""
         self.long: tuple[str, PieceStream] | None = None
 
     def feed(self, chunk: str) -> Iterator[int]:
         self.tail += chunk
         while self.tail:
+            before = len(self.tail)
             if self.long:
                 name, stream = self.long
                 m = _RUNS[name].match(self.tail)
                 end = m.end() if m else 0
-                ended = end < len(self.tail)
+                ended = end < before
                 # The last white space before other text belongs to what follows.
-                take = end - 1 if name == "spaces" else end
-                yield from stream.feed(self.tail[: max(take, 0)].encode("utf-8", "replace"))
-                self.tail = self.tail[max(take, 0) :]
+                take = max(end - 1, 0) if name == "spaces" else end
+                yield from stream.feed(self.tail[:take].encode("utf-8", "replace"))
+                self.tail = self.tail[take:]
                 if not ended:
                     return
                 yield from stream.finish()
                 self.long = None
                 continue
-            used = 0
-            found = []
-            for m in self.split.finditer(self.tail):
-                if m.end() > len(self.tail) - PATTERN_LOOKAHEAD:
-                    break
-                found.append(m.group())
-                used = m.end()
+            # The pieces cover the text; those that could still change are the last ones.
+            found = _SPLIT(self.tail)
+            open_ = 0
+            while found and open_ < PATTERN_LOOKAHEAD:
+                open_ += len(found.pop())
             yield from chain.from_iterable(map(self.pieces.__getitem__, found))
-            self.tail = self.tail[used:]
+            self.tail = self.tail[before - open_ :]
             if len(self.tail) < LONG_PIECE:
                 return
-            last = self.tail[1] if self.tail[0] == " " and not self.tail[1].isspace() else self.tail[0]
-            name = next(k for k, r in _RUNS.items() if r.match(last))
-            head = 1 if last is not self.tail[0] and self.tail[0] == " " and name != "spaces" else 0
+            # A piece is at most one space and a run of one kind, or white space.
+            head = 1 if self.tail[0] == " " and not _RUNS["spaces"].match(self.tail[1]) else 0
+            name = next(k for k, r in _RUNS.items() if r.match(self.tail[head]))
             self.long = (name, PieceStream(self.vocab))
             yield from self.long[1].feed(self.tail[:head].encode())
             self.tail = self.tail[head:]
@@ -233,7 +238,7 @@ class TextEncoder:
             yield from self.long[1].feed(self.tail.encode("utf-8", "replace"))
             yield from self.long[1].finish()
         else:
-            yield from chain.from_iterable(map(self.pieces.__getitem__, self.split.findall(self.tail)))
+            yield from chain.from_iterable(map(self.pieces.__getitem__, _SPLIT(self.tail)))
         self.tail, self.long = "", None
 
 
@@ -266,27 +271,39 @@ class TextDecoder:
         return out
 
 
-def encode(vocab: Vocabulary, text: str, pieces: _Pieces | None = None, window: int = WINDOW) -> list[int]:
-    """All tokens of ``text``, read window by window."""
+def encoded(vocab: Vocabulary, text: str, pieces: _Pieces | None = None, window: int = WINDOW) -> Iterator[int]:
+    """The tokens of ``text``, which is read window by window, whatever its length."""
     enc = TextEncoder(vocab, pieces)
-    if len(text) <= window:
-        enc.tail = text
-        return list(enc.finish())
-    out: list[int] = []
     for at in range(0, len(text), window):
-        out.extend(enc.feed(text[at : at + window]))
-    out.extend(enc.finish())
-    return out
+        yield from enc.feed(text[at : at + window])
+    yield from enc.finish()
+
+
+def encode(vocab: Vocabulary, text: str, pieces: _Pieces | None = None, window: int = WINDOW) -> list[int]:
+    return list(encoded(vocab, text, pieces, window))
+
+
+def decoded(vocab: Vocabulary, tokens: Iterable[int], block: int = 4096) -> Iterator[str]:
+    """The text of ``tokens`` in parts, one for each block of them. Ids that the vocabulary lacks become U+FFFD."""
+    dec, unknown = TextDecoder(), "\ufffd".encode()
+    get = vocab.tokens.get
+    for ids in batched(tokens, block):
+        yield dec.feed(b"".join([get(t, unknown) for t in ids]))
+    yield dec.finish()
 
 
 def decode(vocab: Vocabulary, tokens: Iterable[int], block: int = 4096) -> str:
-    """The text of ``tokens``, written block by block. Ids that the vocabulary lacks become U+FFFD."""
-    dec, parts = TextDecoder(), []
-    unknown = "�".encode()
-    ids = list(tokens)
-    for at in range(0, len(ids), block):
-        parts.append(dec.feed(b"".join([vocab.tokens.get(t, unknown) for t in ids[at : at + block]])))
-    return "".join([*parts, dec.finish()])
+    return "".join(decoded(vocab, tokens, block))
+
+
+def returns(vocab: Vocabulary, tokens: Iterable[int], text: str) -> bool:
+    """Whether ``tokens`` decode to ``text``; holds one block of either."""
+    at = 0
+    for part in decoded(vocab, tokens):
+        if not text.startswith(part, at):
+            return False
+        at += len(part)
+    return at == len(text)
 
 
 def _file(path: str) -> bytes:
@@ -309,7 +326,7 @@ def _on_worker(data: bytes) -> tuple[Vocabulary, _Pieces]:
 def tokenized(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text", keep_cols: list[str] | None = None) -> DataFrame:
     """``keep_cols`` (by default the id), ``tokens``, ``n_tokens``, ``round_trip`` (whether decoding gives the text back).
 
-    A null text has null tokens and counts; an empty one has none. Lone surrogates are encoded as ``?`` and fail the round
+    A null text has null tokens and counts; an empty one has none. Texts of any length are read in windows, and an empty table gives an empty result. Lone surrogates are encoded as ``?`` and fail the round
     trip. Rows keep their number and need no shuffle. Columns of the input named like the results must not be kept.
     """
     keep = keep_cols or [id_col]
@@ -319,27 +336,22 @@ def tokenized(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, pieces = _on_worker(shared.value)
-        split = regex.compile(PATTERN)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            parts: list[np.ndarray] = []
-            ok: list[bool | None] = []
-            for t in texts:
-                if t is None:
-                    parts.append(np.empty(0, np.int32))
-                    ok.append(None)
-                    continue
-                ids = list(chain.from_iterable(map(pieces.__getitem__, split.findall(t)))) if len(t) <= WINDOW else encode(vocab, t, pieces)
-                ok.append(decode(vocab, ids) == t)
-                parts.append(np.array(ids, np.int32))
-            sizes = np.array([len(p) for p in parts], np.int32)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            nulls = pa.array([o is None for o in ok], pa.bool_()).to_numpy(zero_copy_only=False).astype(bool)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)), mask=pa.array(nulls)) if len(texts) else pa.array([], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], lists, pa.array(sizes, mask=nulls), pa.array(ok, pa.bool_())],
-                names=[*batch.schema.names[:-1], "tokens", "n_tokens", "round_trip"],
-            )
+            texts = batch.column(batch.num_columns - 1)
+            for a, b in chunks(pc.binary_length(texts).to_pylist(), BATCH_BYTES):
+                ids, ends, ok = array("i"), [0], []
+                for t in texts.slice(a, b - a).to_pylist():
+                    begin = len(ids)
+                    if t is not None:
+                        ids.extend(encoded(vocab, t, pieces))
+                    ok.append(None if t is None else returns(vocab, memoryview(ids)[begin:], t))
+                    ends.append(len(ids))
+                sizes, nulls = np.diff(ends).astype(np.int32), np.array([o is None for o in ok])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)), mask=pa.array(nulls))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(a, b - a) for c in batch.columns[:-1]), lists, pa.array(sizes, mask=nulls), pa.array(ok, pa.bool_())],
+                    names=[*batch.schema.names[:-1], "tokens", "n_tokens", "round_trip"],
+                )
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("__text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -39,16 +39,16 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
 
 
-def chunks(texts: list[str], size: int = 512 * 1024) -> Iterator[tuple[int, int]]:
-    """Consecutive index ranges of about ``size`` characters; a longer text has a range of its own."""
-    at, total = 0, 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > size:
+def chunks(lengths: Iterable[int | None], size: int = 512 * 1024) -> Iterator[tuple[int, int]]:
+    """Consecutive index ranges of texts of about ``size`` together; a longer text has a range of its own."""
+    at, total, i = 0, 0, -1
+    for i, n in enumerate(lengths):
+        if total and total + (n or 0) > size:
             yield at, i
             at, total = i, 0
-        total += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+        total += n or 0
+    if at <= i:
+        yield at, i + 1
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -92,7 +92,7 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in chunks([t or "" for t in texts]):
+        for a, b in chunks(map(len, (t or "" for t in texts))):
             part = texts[a:b]
             mins, full = minhashes([t or "" for t in part])
             place = {int(f): i for i, f in enumerate(full)}

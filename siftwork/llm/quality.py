@@ -219,7 +219,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            got = [score(model, texts[a:b]) for a, b in chunks([t or "" for t in texts], 1 << 18)]
+            got = [score(model, texts[a:b]) for a, b in chunks(map(len, (t or "" for t in texts)), 1 << 18)]
             q, n, top = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0), np.zeros(0, int), np.zeros(0, int))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(q, mask=np.isnan(q)), pa.array(n.astype(np.int32)), pa.array(top.astype(np.int32), mask=top < 0)],
@@ -240,7 +240,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if t is None else str(t) for t in batch.column(at).to_pylist()]
-            for a, b in chunks([t or "" for t in texts], 1 << 18):
+            for a, b in chunks(map(len, (t or "" for t in texts)), 1 << 18):
                 q, _, _ = score(model, texts[a:b])
                 yield batch.slice(a, b - a).filter(pa.array(np.nan_to_num(q, nan=-1.0) >= threshold))
 

@@ -43,6 +43,31 @@ def test_any_text_in_any_chunks(text, n):
     assert "".join([dec.feed(data[i : i + n]) for i in range(0, len(data), n)]) + dec.finish() == text
 
 
+ODD = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u200b", "\u00a0", "\u2028", "\u3000", " ", "\n", "\t", "\0", "'", "s", "é", "1", "\U0001f600"]
+
+
+@pytest.mark.parametrize("length", [bpe.LONG_PIECE - 2, bpe.LONG_PIECE, bpe.LONG_PIECE + 3, bpe.WINDOW - 1, bpe.WINDOW, bpe.WINDOW + 2])
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_of_odd_characters(length, seed):
+    """Runs that begin, end or are broken by spaces of all kinds; a text without progress would never end."""
+    r = random.Random(f"{length} {seed}")
+    for _ in range(5):
+        a, b, c = r.choice(ODD), r.choice(ODD), r.choice(ODD)
+        for t in (a + b * length, a * length + b + c * length, (a + b) * (length // 2) + c, a + b * length + c):
+            assert bpe.encode(V, t) == want(t), (a, b, c)
+
+
+def test_space_and_control_character():
+    t = " " + "\x1c" * 70_000
+    assert bpe.encode(V, t) == want(t)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from(ODD), max_size=60), st.integers(1, 30))
+def test_any_window(text, n):
+    assert bpe.encode(V, text, window=n) == want(text)
+
+
 def test_stream_of_long_pieces_is_bounded():
     r = random.Random(3)
     text = "".join(r.choice("abcdeghilnoprst") for _ in range(200_000))
@@ -96,6 +121,9 @@ def test_decoding_of_broken_bytes():
     data = b"\xff\xe6\x97a\xf0\x9f\x98"
     assert "".join(dec.feed(data[i : i + 1]) for i in range(len(data))) + dec.finish() == data.decode("utf-8", "replace")
     assert bpe.decode(V, [10**9]) == "�"
+    for text in ("", "a", "naïve 日本", "x" * 9000):
+        assert bpe.returns(V, bpe.encode(V, text), text)
+        assert not bpe.returns(V, bpe.encode(V, text), text + "b") and not bpe.returns(V, [*bpe.encode(V, text), 5], text)
 
 
 def test_documents(spark, small):
