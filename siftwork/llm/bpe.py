@@ -167,19 +167,22 @@ class PieceStream:
 
 
 class _Pieces(dict):
-    """Tokens by piece, emptied when it has grown."""
+    """Tokens by piece. When it has grown, its content becomes ``old``, from which only what is met again returns."""
 
     def __init__(self, vocab: Vocabulary, most: int = 200_000):
         super().__init__()
         self.vocab, self.most = vocab, most
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8", "replace")
-        if len(data) > LONG_PIECE:
-            stream = PieceStream(self.vocab)
-            return tuple(chain(stream.feed(data), stream.finish()))
-        out = tuple(self.vocab.encode(data))
+        if (out := self.old.get(piece)) is None:
+            data = piece.encode("utf-8", "replace")
+            if len(data) > LONG_PIECE:
+                stream = PieceStream(self.vocab)
+                return tuple(chain(stream.feed(data), stream.finish()))
+            out = tuple(self.vocab.encode(data))
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = out
@@ -199,7 +202,8 @@ class TextEncoder:
         self.tail = ""
         self.long: tuple[str, PieceStream] | None = None
 
-    def feed(self, chunk: str) -> Iterator[int]:
+    def parts(self, chunk: str) -> Iterator[Iterable[int]]:
+        """The tokens that are final once ``chunk`` is read, in parts that have to be used up one by one."""
         self.tail += chunk
         while self.tail:
             before = len(self.tail)
@@ -210,11 +214,11 @@ class TextEncoder:
                 ended = end < before
                 # The last white space before other text belongs to what follows.
                 take = max(end - 1, 0) if name == "spaces" else end
-                yield from stream.feed(self.tail[:take].encode("utf-8", "replace"))
+                yield stream.feed(self.tail[:take].encode("utf-8", "replace"))
                 self.tail = self.tail[take:]
                 if not ended:
                     return
-                yield from stream.finish()
+                yield stream.finish()
                 self.long = None
                 continue
             # The pieces cover the text; those that could still change are the last ones.
@@ -222,7 +226,7 @@ class TextEncoder:
             open_ = 0
             while found and open_ < PATTERN_LOOKAHEAD:
                 open_ += len(found.pop())
-            yield from chain.from_iterable(map(self.pieces.__getitem__, found))
+            yield chain.from_iterable(map(self.pieces.__getitem__, found))
             self.tail = self.tail[before - open_ :]
             if len(self.tail) < LONG_PIECE:
                 return
@@ -230,17 +234,24 @@ class TextEncoder:
             head = 1 if self.tail[0] == " " and not _RUNS["spaces"].match(self.tail[1]) else 0
             name = next(k for k, r in _RUNS.items() if r.match(self.tail[head]))
             self.long = (name, PieceStream(self.vocab))
-            yield from self.long[1].feed(self.tail[:head].encode())
+            yield self.long[1].feed(self.tail[:head].encode())
             self.tail = self.tail[head:]
 
-    def finish(self) -> Iterator[int]:
+    def rest(self) -> Iterator[Iterable[int]]:
+        """The tokens of what is left at the end of the text."""
         if self.long:
-            yield from self.long[1].feed(self.tail.encode("utf-8", "replace"))
-            yield from self.long[1].finish()
+            yield self.long[1].feed(self.tail.encode("utf-8", "replace"))
+            yield self.long[1].finish()
         else:
-            yield from chain.from_iterable(map(self.pieces.__getitem__, _SPLIT(self.tail)))
+            yield chain.from_iterable(map(self.pieces.__getitem__, _SPLIT(self.tail)))
         self.tail, self.long = "", None
 
+    def feed(self, chunk: str) -> Iterator[int]:
+        return chain.from_iterable(self.parts(chunk))
+
+    def finish(self) -> Iterator[int]:
+        return chain.from_iterable(self.rest())
+
 
 class TextDecoder:
     """Bytes to text, incrementally: the state is the bytes of a character that is not whole yet (three at most)."""
@@ -274,9 +285,7 @@ class TextDecoder:
 def encoded(vocab: Vocabulary, text: str, pieces: _Pieces | None = None, window: int = WINDOW) -> Iterator[int]:
     """The tokens of ``text``, which is read window by window, whatever its length."""
     enc = TextEncoder(vocab, pieces)
-    for at in range(0, len(text), window):
-        yield from enc.feed(text[at : at + window])
-    yield from enc.finish()
+    return chain(chain.from_iterable(enc.feed(text[at : at + window]) for at in range(0, len(text), window)), enc.finish())
 
 
 def encode(vocab: Vocabulary, text: str, pieces: _Pieces | None = None, window: int = WINDOW) -> list[int]:
