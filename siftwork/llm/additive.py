@@ -2,11 +2,15 @@
 
 A vector is approximated by a sum of full-dimensional codewords, one from each codebook. Codebooks are
 trained on residuals and refined jointly by least squares; encoding is a beam search over the codebooks.
-The approximation's norm is stored beside its codes, so a query's distances to all codes come from one lookup table;
-the best by these are ranked again by their exact distances.
+The approximation's norm and its squared error are stored beside its codes, so a query's distances to all codes come from one lookup table;
+those close enough by these are ranked again by their exact distances.
 
-Codes are grouped by the first codeword. How many of these lists a query scores, and how many of the scored rows are ranked exactly,
-is measured on the training sample against brute force, so that each step keeps nearly all true neighbours.
+Rows are listed by the nearest word of the first codebook as it was before the refinement. A query scores the lists whose words are at most ``reach`` farther from it than the
+nearest one, and ranks exactly the rows whose estimated squared distance is at most ``slack`` times the k-th least. Both are
+measured against brute force on sampled vectors that the codebooks were not fitted to, so that each keeps nearly all true neighbours.
+
+Lists that lie near each other form blocks of rows, queries near each other blocks of queries, and only blocks of which one
+asks the other meet. A row is sent to the query blocks that ask its list, a query to the row blocks that hold a list it scores.
 """
 
 from __future__ import annotations
@@ -24,33 +28,40 @@ from siftwork.session import stored
 BOOKS, WORDS, BEAM = 8, 256, 8
 #: The most vectors that the codebooks are trained on and the search is tuned with, those of the least hash.
 TRAIN_ROWS = 8192
-#: The share of the true neighbours that each of both approximations has to keep on the sample.
+#: The share of them that the codebooks don't see, for tuning.
+HELD_OUT = 0.25
+#: The share of the true neighbours that each of both approximations has to keep on the held-out vectors.
 KEEP = 0.97
-QUERY_BLOCK, ROW_BLOCK = 8192, 16384
-#: The largest plan of blocks that is broadcast; beyond it, rows are shuffled to it by list.
-PLAN_BYTES = 8 << 20
+QUERY_BLOCK, ROW_BLOCK = 4096, 16384
 
 
 @dataclass
 class Quantiser:
-    """``books``: (books, words, dimensions). ``probes[a]``: the first codewords whose lists the queries of list ``a`` score. ``depth``: the share of scored rows that is ranked exactly. ``near[a]``: all lists by their distance from list ``a``."""
+    """``books``: (books, words, dimensions). ``centres`` of the lists: the first codebook before it was refined with the others. ``reach``: how much farther than the nearest list (as a difference of squares) a scored one may be. ``slack``: how much farther than the k-th (as a ratio of squares) a row may seem that is ranked exactly."""
 
     books: np.ndarray
-    probes: list[np.ndarray]
-    depth: float
-    near: np.ndarray
-
-    def widened(self, sizes: dict[int, int], least: int) -> Quantiser:
-        """With so many more of the next lists that every query meets ``least`` rows, if there are as many."""
-        n = np.array([sizes.get(i, 0) for i in range(len(self.near))])
-        have = np.cumsum(n[self.near], axis=1)
-        need = np.minimum((have < min(least, int(n.sum()))).sum(axis=1) + 1, len(n))
-        return Quantiser(self.books, [np.sort(self.near[a, : max(len(p), need[a])]) for a, p in enumerate(self.probes)], self.depth, self.near)
+    centres: np.ndarray
+    reach: float
+    slack: float
 
     def table(self, q: np.ndarray) -> np.ndarray:
         """Inner products of queries with all codewords: (queries, books * words)."""
         return q @ self.books.reshape(-1, self.books.shape[2]).T
 
+    def to_lists(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances of vectors from the centres of all lists."""
+        c = self.centres
+        return np.maximum((q * q).sum(axis=1)[:, None] - 2 * q @ c.T + (c * c).sum(axis=1)[None], 0)
+
+    def probed(self, q: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+        """Which lists each query scores: those within reach, and as many more as hold ``least`` rows."""
+        d = self.to_lists(q)
+        order = np.argsort(d, axis=1, kind="stable")
+        held = np.cumsum(sizes[order], axis=1)
+        need = np.empty(d.shape, bool)
+        np.put_along_axis(need, order, (held - sizes[order]) < least, axis=1)
+        return (need | (d <= self.reach + d.min(axis=1)[:, None])) & (sizes > 0)[None]
+
 
 def encode(books: np.ndarray, x: np.ndarray, beam: int = BEAM, block: int = 2048) -> np.ndarray:
     """Codes by beam search: at each codebook the ``beam`` sums closest to the vector go on."""
@@ -77,7 +88,8 @@ def decode(books: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def _kmeans(x: np.ndarray, k: int, r: np.random.RandomState, rounds: int = 8) -> np.ndarray:
-    c = x[r.permutation(len(x))[:k]].copy()
+    """``k`` centres; where there are fewer vectors than that, some are equal."""
+    c = x[np.resize(r.permutation(len(x)), k)].copy()
     for _ in range(rounds):
         a = ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
         n = np.bincount(a, minlength=len(c))
@@ -88,57 +100,62 @@ def _kmeans(x: np.ndarray, k: int, r: np.random.RandomState, rounds: int = 8) ->
 
 
 def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, refine: int = 2, k: int = 10, keep: float = KEEP, seed: int = 11) -> Quantiser:
-    """Codebooks from a sample of vectors, and the probes and depth that keep ``keep`` of its true ``k`` neighbours each."""
+    """Codebooks from a sample of vectors, and the reach and slack that keep ``keep`` of the true ``k`` neighbours each of the part of it that is held out."""
+    if not 1 <= words <= 256:
+        raise ValueError("a code is one byte, so there are 1 to 256 words")
     r = np.random.RandomState(seed)
-    x = x.astype(np.float32)
-    n, d = x.shape
-    words = max(1, min(words, n // 4))
-    left, made = x.copy(), []
+    x = x[r.permutation(len(x))].astype(np.float32)
+    held = x[: int(HELD_OUT * len(x))]
+    fit = x[len(held) :]
+    d = x.shape[1]
+    left, made = fit.copy(), []
     for _ in range(books):
         made.append(_kmeans(left, words, r))
         c = made[-1]
         left = left - c[((c * c).sum(axis=1) - 2 * left @ c.T).argmin(axis=1)]
     book = np.stack(made)
     for _ in range(refine):
-        at = encode(book, x) + np.arange(books) * words
+        at = encode(book, fit) + np.arange(books) * words
         gram = np.zeros((books * words, books * words), np.float64)
         right = np.zeros((books * words, d), np.float64)
         for i in range(books):
-            np.add.at(right, at[:, i], x)
+            np.add.at(right, at[:, i], fit)
             for j in range(books):
                 np.add.at(gram, (at[:, i], at[:, j]), 1)
         # Drawn to the codebooks as they are, so that unused codewords stay.
         weight = 0.1
         gram[np.diag_indices_from(gram)] += weight
         book = np.linalg.solve(gram, right + weight * book.reshape(-1, d)).reshape(books, words, d).astype(np.float32)
-    return _tuned(book, x, k, keep, r)
-
-
-def _tuned(book: np.ndarray, x: np.ndarray, k: int, keep: float, r: np.random.RandomState) -> Quantiser:
-    codes = encode(book, x)
-    first = codes[:, 0]
-    words = book.shape[1]
-    c = book[0]
-    near = np.argsort((c * c).sum(axis=1)[None] - 2 * c @ c.T, axis=1, kind="stable")
-    rank_of = np.empty_like(near)
-    np.put_along_axis(rank_of, near, np.arange(words)[None].repeat(words, 0), axis=1)
-    ask = r.permutation(len(x))[:512]
+    # Among vectors of which most were fitted, as in a small table, and among such that none was.
+    both = [_tuned(book, made[0], s, r.permutation(len(s))[:512], k, keep) for s in (x, held)]
+    return Quantiser(book, made[0], max(t[0] for t in both), max(t[1] for t in both))
+
+
+def _tuned(book: np.ndarray, centres: np.ndarray, x: np.ndarray, ask: np.ndarray, k: int, keep: float) -> tuple[float, float]:
+    """Reach and slack for the vectors of ``x`` at the places ``ask`` against all others of it; without any, nothing is left out."""
     k = min(k, len(x) - 1)
     if k < 1:
-        return Quantiser(book, [np.arange(words)] * words, 1.0, near)
+        return 1e30, 1e30
+    q = Quantiser(book, centres, 0, 0)
+    own = np.arange(len(ask))[:, None]
     dist = (x * x).sum(axis=1)[None] - 2 * x[ask] @ x.T
     dist[np.arange(len(ask)), ask] = np.inf
     true = np.argsort(dist, axis=1)[:, :k]
-    list_rank = rank_of[first[ask][:, None], first[true]]
-    n_probes = int(np.quantile(list_rank, keep, method="higher")) + 1
-    probes = [np.sort(near[a, :n_probes]) for a in range(words)]
-    hat = decode(book, codes)
-    near_to = (hat * hat).sum(axis=1)[None] - 2 * x[ask] @ hat.T
-    near_to[np.arange(len(ask)), ask] = np.inf
-    place = np.empty(near_to.shape, np.int64)
-    np.put_along_axis(place, np.argsort(near_to, axis=1), np.arange(len(x))[None].repeat(len(ask), 0), axis=1)
-    depth = float(np.quantile(np.take_along_axis(place, true, axis=1), keep, method="higher") + 1) / len(x)
-    return Quantiser(book, probes, min(1.0, depth), near)
+    lists = q.to_lists(x)
+    home = lists.argmin(axis=1)
+    to = lists[ask]
+    reach = np.quantile(to[own, home[true]] - to.min(axis=1)[:, None], keep, method="higher")
+    hat = decode(book, encode(book, x))
+    seems = estimate((hat * hat).sum(axis=1)[None] - 2 * x[ask] @ hat.T, (x[ask] ** 2).sum(axis=1)[:, None], ((x - hat) ** 2).sum(axis=1)[None])
+    seems[np.arange(len(ask)), ask] = np.inf
+    kth = np.partition(seems, k - 1, axis=1)[:, k - 1]
+    slack = np.quantile(seems[own, true] / np.maximum(kth, 1e-30)[:, None], keep, method="higher")
+    return float(reach), float(max(1.0, slack))
+
+
+def estimate(score: np.ndarray, square: np.ndarray, error: np.ndarray) -> np.ndarray:
+    """Squared distances from the table's scores, the queries' squares and the rows' squared errors, which are about orthogonal to what the codes hold."""
+    return np.maximum(score + square + error, 0)
 
 
 def _closest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -153,24 +170,32 @@ def _closest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         some = min(len(dist), 4 * some)
 
 
-def search_block(q: Quantiser, queries: np.ndarray, ids: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, norms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_block(q: Quantiser, queries: np.ndarray, ids: np.ndarray, probed: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, lists: np.ndarray, norms: np.ndarray, errors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one block of rows: for each query (its place), row ids and squared distances of the best ``k``. Equal ids are never neighbours."""
-    lists = codes[:, 0]
     at = np.ascontiguousarray((codes + np.arange(codes.shape[1]) * q.books.shape[1]).T)
-    home = encode(q.books[:1], queries, beam=1)[:, 0]
     tables = q.table(queries)
+    squares = (queries.astype(np.float64) ** 2).sum(axis=1)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a in np.unique(home):
-        on = np.flatnonzero(np.isin(lists, q.probes[a]))
+    # Queries that score the same lists do so together.
+    several = np.unique(row_ids, return_inverse=True)[1].ravel() if len(set(row_ids.tolist())) < len(row_ids) else None
+    sets, which = np.unique(np.packbits(probed[:, np.unique(lists)], axis=1), axis=0, return_inverse=True)
+    for n in range(len(sets)):
+        asks = np.flatnonzero(which.ravel() == n)
+        on = np.flatnonzero(probed[asks[0]][lists])
         if not len(on):
             continue
-        own, norm = np.ascontiguousarray(at[:, on]), norms[on]
-        depth = min(len(on), int(np.ceil(q.depth * len(rows))) + 4 * k)
-        for i in np.flatnonzero(home == a):
-            score = norm - 2 * tables[i].take(own).sum(axis=0)
-            # With all that tie with the last of them, so that equal vectors rank by id.
-            best = on[score <= np.partition(score, depth - 1)[depth - 1]] if depth < len(on) else on
-            best = best[row_ids[best] != ids[i]]
+        own, norm, error = np.ascontiguousarray(at[:, on]), norms[on], errors[on]
+        top_norm = float(norm.max())
+        for i in asks:
+            seems = estimate(norm - 2 * tables[i].take(own).sum(axis=0), squares[i], error)
+            seems[row_ids[on] == ids[i]] = np.inf
+            nearest = seems
+            if several is not None:
+                nearest = np.full(several.max() + 1, np.inf)
+                np.minimum.at(nearest, several[on], seems)
+            # The k-th of the block is no nearer than the k-th of all, so what matters passes; the rest is for rounding.
+            most = np.partition(nearest, k - 1)[k - 1] * q.slack if len(nearest) > k else np.inf
+            best = on[(seems <= most + 1e-6 * (squares[i] + top_norm)) & (seems < np.inf)]
             diff = rows[best].astype(np.float64) - queries[i]
             exact = np.einsum("ij,ij->i", diff, diff)
             top = _closest(exact, row_ids[best], k)
@@ -187,9 +212,36 @@ def _matrix(c) -> np.ndarray:
     return flat.reshape(len(c), -1) if len(c) else flat.reshape(0, 0)
 
 
+def _blocks(centres: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """By list: its group of lists that lie near each other and hold ``most`` rows together, and in how many parts the group is cut."""
+    first = centres - centres.mean(axis=0)
+    order = np.argsort(first @ np.linalg.svd(first, full_matrices=False)[2][0])
+    group, held, g = np.zeros(len(order), np.int64), 0, 0
+    for i in order:
+        if held and held + sizes[i] > most:
+            g, held = g + 1, 0
+        group[i], held = g, held + sizes[i]
+    parts = np.maximum(1, -(-np.bincount(group, sizes).astype(np.int64) // most))
+    return group, parts[group]
+
+
+def _sizes(coded: DataFrame, words: int) -> np.ndarray:
+    """Rows by list; as many numbers as the first codebook has words."""
+    out = np.zeros(words, np.int64)
+    for r in coded.groupBy("list").count().collect():
+        out[r["list"]] = r["count"]
+    return out
+
+
+def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return v.filter(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(1e30))))
+
+
 def neighbours(
     vectors: DataFrame,
     k: int = 10,
+    queries: DataFrame | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     train_rows: int = TRAIN_ROWS,
@@ -197,15 +249,15 @@ def neighbours(
     words: int = WORDS,
     keep: float = KEEP,
 ) -> DataFrame:
-    """``id``, ``rank`` (from 1), ``neighbour``, ``distance`` (Euclidean): every vector's ``k`` nearest others.
+    """``id``, ``rank`` (from 1), ``neighbour``, ``distance`` (Euclidean): the ``k`` nearest others of ``vectors`` to each row of ``queries``, by default to each of ``vectors``.
 
     Rows with a null id, and vectors that are null, empty, of another length than most, or hold a null or
     non-finite number neither ask nor answer. Rows of one id are never each other's neighbours;
-    an id that repeats asks once for all its rows, and is named once. Equal distances rank by id. Other columns are ignored.
+    an id that repeats asks once for all its rows, and is named once. Equal distances rank by id. Other columns are ignored;
+    an empty table of either gives an empty result.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    v = v.filter(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(1e30))))
+    v = _valid(vectors, id_col, vector_col)
     kind = v.schema["id"].dataType.simpleString()
     shape = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if shape is None:
@@ -213,57 +265,74 @@ def neighbours(
     v = v.filter(F.size("v") == shape["d"]).select("id", F.col("v").cast("array<float>").alias("v"))
     sample = v.orderBy(F.xxhash64("id", "v"), "id").limit(train_rows).toArrow()
     q = train(_matrix(sample.column("v")), books, words, k=k, keep=keep)
-    books_only = spark.sparkContext.broadcast(q.books)
+    shared = spark.sparkContext.broadcast(q)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = books_only.value
+        qq = shared.value
         for b in batches:
-            codes = encode(made, _matrix(b.column(1)))
-            hat = decode(made, codes)
+            x = _matrix(b.column(1))
+            codes = encode(qq.books, x)
+            hat = decode(qq.books, codes)
+            lists = qq.to_lists(x).argmin(axis=1) if len(x) else np.zeros(0, int)
+            numbers = ((hat * hat).sum(axis=1), ((x - hat) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array((hat * hat).sum(axis=1).astype(np.float32)), pa.array(codes[:, 0].astype(np.int32))],
-                names=["id", "v", "codes", "norm", "list"],
+                [b.column(0), b.column(1), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), *(pa.array(n.astype(np.float32)) for n in numbers), pa.array(lists.astype(np.int32))],
+                names=["id", "v", "codes", "norm", "error", "list"],
             )
 
-    rows = stored(v.mapInArrow(coded, f"id {kind}, v array<float>, codes binary, norm float, list int"), "codes")
-    # At most as many rows as there are first codewords.
-    sizes = {r["list"]: r["count"] for r in rows.groupBy("list").count().collect()}
-    n_rows = sum(sizes.values())
-    q = q.widened(sizes, 5 * k + 1)
-    shared = spark.sparkContext.broadcast(q)
-    # Query blocks are runs of lists that lie near each other; a list with more rows than a block is split.
-    order = [int(i) for i in np.argsort((q.books[0] @ np.linalg.svd(q.books[0] - q.books[0].mean(axis=0), full_matrices=False)[2][0]))]
-    groups: list[list[int]] = [[]]
-    for i in order:
-        if groups[-1] and sum(sizes.get(j, 0) for j in groups[-1]) + sizes.get(i, 0) > QUERY_BLOCK:
-            groups.append([])
-        groups[-1].append(i)
-    group_of = {i: g for g, ls in enumerate(groups) for i in ls}
-    salts = {g: max(1, -(-sum(sizes.get(i, 0) for i in ls) // QUERY_BLOCK)) for g, ls in enumerate(groups)}
-    asked_by = [sorted(g for g, ls in enumerate(groups) if any(np.isin(i, q.probes[a]) for a in ls if sizes.get(a))) for i in range(len(order))]
-    chunks = max(1, -(-n_rows // ROW_BLOCK))
-    plan = spark.createDataFrame([(i, group_of[i], salts[group_of[i]], asked_by[i], [salts[g] for g in asked_by[i]]) for i in range(len(order))], "l int, own int, n_salts int, asked array<int>, asked_salts array<int>")
-    part = F.pmod(F.xxhash64("id", "v"), F.lit(chunks)).cast("int")
-    # The plan grows with the number of query blocks, so it is broadcast only while it is small.
-    plan_bytes = 8 * sum(len(a) for a in asked_by) + 24 * len(asked_by)
-    rows = rows.join(F.broadcast(plan) if plan_bytes <= PLAN_BYTES else plan, F.col("list") == F.col("l"))
-    asks = rows.select(F.col("id").alias("ask"), F.col("v").alias("q"), F.col("own").alias("g"), F.pmod(F.xxhash64("v", "id"), F.col("n_salts")).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"))
-    to = F.explode(F.flatten(F.transform(F.arrays_zip("asked", "asked_salts"), lambda z: F.transform(F.sequence(F.lit(0), z["asked_salts"] - 1), lambda s: F.struct(z["asked"].alias("g"), s.alias("s"))))))
-    answers = rows.select(F.col("id").alias("row"), F.col("v").alias("x"), "codes", "norm", to.alias("t"), part.alias("c")).select("row", "x", "codes", "norm", "t.g", "t.s", "c")
-
-    def met(left: pa.Table, right: pa.Table) -> pa.Table:
-        qq = shared.value
-        codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(right.num_rows, -1).astype(np.int64)
-        ids, row_ids = left.column("ask").to_pandas().to_numpy(), right.column("row").to_pandas().to_numpy()
-        if not left.num_rows or not right.num_rows:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.to_lists(x).argmin(axis=1).astype(np.int32) if len(x) else [], pa.int32())], names=["id", "v", "list"])
+
+    rows = stored(v.mapInArrow(coded, f"id {kind}, v array<float>, codes binary, norm float, error float, list int"), "codes")
+    if queries is None:
+        asks = rows.select("id", "v", "list")
+    else:
+        asked = _valid(queries, id_col, vector_col).filter(F.size("v") == shape["d"]).select(F.col("id").cast(kind).alias("id"), F.col("v").cast("array<float>").alias("v"))
+        asks = stored(asked.mapInArrow(listed, f"id {kind}, v array<float>, list int"), "asks")
+    sizes, asking = _sizes(rows, words), _sizes(asks, words)
+    least = 5 * k + 1
+    row_group, row_parts = _blocks(q.centres, sizes, ROW_BLOCK)
+    ask_group, ask_parts = _blocks(q.centres, asking, QUERY_BLOCK)
+
+    def place(df: DataFrame, group: np.ndarray, parts: np.ndarray) -> DataFrame:
+        # One row for each list, of which there are as many as words.
+        plan = spark.createDataFrame([(i, int(g), int(p)) for i, (g, p) in enumerate(zip(group, parts, strict=True))], "l int, g int, n int")
+        return df.join(F.broadcast(plan), F.col("list") == F.col("l")).withColumn("s", F.pmod(F.xxhash64("id", "v"), F.col("n")).cast("int")).drop("l", "n")
+
+    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(1))
+            hit = shared.value.probed(x, sizes, least) if len(x) else np.zeros((0, words), bool)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([np.flatnonzero(h).astype(np.int32) for h in hit], pa.list_(pa.int32()))], names=[*b.schema.names, "lists"])
+
+    asks = stored(place(asks, ask_group, ask_parts).select("id", "v", "g", "s").mapInArrow(probing, f"id {kind}, v array<float>, g int, s int, lists array<int>"), "probes")
+    # Pairs of a block of queries and a list, then of a block of queries and a block of rows.
+    met = asks.select(F.col("g").alias("ag"), F.col("s").alias("as"), F.explode("lists").alias("list")).distinct()
+    at = spark.createDataFrame([(i, int(g), int(p)) for i, (g, p) in enumerate(zip(row_group, row_parts, strict=True)) if sizes[i]], "l int, rg int, n int")
+    groups = F.array_distinct(F.transform("lists", lambda i: F.element_at(F.array(*[F.struct(F.lit(int(g)).alias("rg"), F.lit(int(p)).alias("n")) for g, p in zip(row_group, row_parts, strict=True)]), i + 1)))
+    left = asks.select("id", "v", "lists", F.col("g").alias("ag"), F.col("s").alias("as"), F.explode(groups).alias("t"))
+    left = left.select("id", "v", "lists", "ag", "as", "t.rg", F.explode(F.sequence(F.lit(0), F.col("t.n") - 1)).alias("rs"))
+    wanted = met.join(F.broadcast(at), F.col("list") == F.col("l")).select("ag", "as", F.col("rg").alias("g1")).distinct()
+    right = place(rows, row_group, row_parts).join(wanted, F.col("g") == F.col("g1")).select(F.col("id").alias("row"), F.col("v").alias("x"), "codes", "norm", "error", "list", "ag", "as", F.col("g").alias("rg"), F.col("s").alias("rs"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, row_ids = a.column("id").to_pandas().to_numpy(), b.column("row").to_pandas().to_numpy()
+        if not a.num_rows or not b.num_rows:
             i, nb, dist = np.zeros(0, np.int64), row_ids[:0], np.zeros(0)
         else:
-            i, nb, dist = search_block(qq, _matrix(left.column("q")), ids, row_ids, _matrix(right.column("x")), codes, right.column("norm").to_numpy(), k)
-        kind_ = left.schema.field("ask").type
+            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(b.num_rows, -1).astype(np.int64)
+            probed = np.zeros((a.num_rows, words), bool)
+            for j, ls in enumerate(a.column("lists").to_pylist()):
+                probed[j, ls] = True
+            numbers = (b.column(c).to_numpy() for c in ("list", "norm", "error"))
+            i, nb, dist = search_block(shared.value, _matrix(a.column("v")), ids, probed, row_ids, _matrix(b.column("x")), codes, *numbers, k)
+        kind_ = a.schema.field("id").type
         return pa.table({"id": pa.array(ids[i], kind_), "neighbour": pa.array(nb, kind_), "d2": pa.array(dist)})
 
-    keys = ["g", "s", "c"]
-    found = asks.groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInArrow(met, f"id {kind}, neighbour {kind}, d2 double")
+    keys = ["ag", "as", "rg", "rs"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"id {kind}, neighbour {kind}, d2 double")
     found = found.groupBy("id", "neighbour").agg(F.min("d2").alias("d2"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "neighbour"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "neighbour", F.sqrt("d2").alias("distance"))

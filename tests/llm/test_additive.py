@@ -36,6 +36,36 @@ def test_recall(spark):
         assert r["distance"] == pytest.approx(np.sqrt(d[r["id"], r["neighbour"]]), abs=1e-3)
 
 
+def test_recall_beyond_the_training_sample(spark, monkeypatch):
+    """More rows than the codebooks and the search were fitted on, in several blocks, for a stated query set."""
+    monkeypatch.setattr(additive, "QUERY_BLOCK", 256)
+    monkeypatch.setattr(additive, "ROW_BLOCK", 4096)
+    x = np.concatenate([clustered(9000, 24), np.random.RandomState(2).randn(4000, 24).astype(np.float32)])
+    df = frame(spark, x)
+    got = additive.neighbours(df, k=10, queries=df.filter("vec_id % 20 = 0"), train_rows=4096).collect()
+    asks = np.arange(0, len(x), 20)
+    d = (x[asks].astype(np.float64) ** 2).sum(1)[:, None] - 2 * x[asks].astype(np.float64) @ x.T + (x.astype(np.float64) ** 2).sum(1)[None]
+    d[np.arange(len(asks)), asks] = np.inf
+    want = np.argsort(d, axis=1)[:, :10]
+    by = {}
+    for r in got:
+        by.setdefault(r["id"], []).append(r)
+    assert sorted(by) == asks.tolist() and all(len(v) == 10 for v in by.values())
+    assert np.mean([len({r["neighbour"] for r in by[i]} & set(w.tolist())) / 10 for i, w in zip(asks.tolist(), want, strict=True)]) >= 0.9
+
+
+def test_lists_out_of_reach_are_not_scored():
+    x = clustered(8000, 24, centres=40)
+    q = additive.train(x, k=10)
+    sizes = np.bincount(q.to_lists(x).argmin(axis=1), minlength=256)
+    assert (q.probed(x, sizes, 51) @ sizes).mean() < 0.3 * len(x)
+
+
+def test_too_many_words():
+    with pytest.raises(ValueError, match="byte"):
+        additive.train(clustered(600, 8), words=512)
+
+
 def test_recall_on_the_table(spark):
     t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = t.select("vec_id", "embedding").orderBy("vec_id").collect()
@@ -79,8 +109,9 @@ def test_odd_rows(spark):
     assert sorted(top) == [(i, 1 if i == 0 else 0) for i in range(30)]
 
 
-def test_a_plan_too_large_to_broadcast(spark, monkeypatch):
-    df = frame(spark, clustered(300, 8))
-    small = sorted(map(tuple, additive.neighbours(df, k=3).collect()))
-    monkeypatch.setattr(additive, "PLAN_BYTES", -1)
-    assert sorted(map(tuple, additive.neighbours(df, k=3).collect())) == small
+def test_repeated_ids_do_not_hide_others(spark):
+    x = clustered(60, 8)
+    df = frame(spark, np.concatenate([x, *[x[1:2]] * 80]), [*range(60), *[1] * 80])
+    got = {(r["id"], r["neighbour"]) for r in additive.neighbours(df, k=5).collect()}
+    want, _ = brute(x, 5)
+    assert len(got) == 300 and recall([{"id": a, "neighbour": b} for a, b in got], want, 5) >= 0.9
