@@ -2,8 +2,10 @@
 
 Candidate strings are cut into runs of each character class. A window slides over a run; the counts of its characters,
 and with them the entropy, are updated by the one character that enters and the one that leaves.
-Runs whose best window reaches the class's threshold are reported unless an allow-list names them.
-Runs with few digits must look unlike words as well.
+Runs whose best window reaches the class's threshold are found unless an allow-list names them.
+Runs with few digits must look unlike words as well, unless they begin as the keys of a known issuer do.
+What is found is reported whole: runs that overlap are one secret, and it reaches as far as letters and digits follow
+without a break, and over breaks as long as what follows is no word.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +42,11 @@ class CharClass:
     unlike_words: bool = False
 
 
+#: How keys of known issuers begin.
+ISSUED = r"(?:AKIA|ASIA|AROA|AIza|gh[pousr]_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|npm_|pypi-|hf_|dop_v1_|SG\.)"
+
 CLASSES = (
+    CharClass("issued", rf"(?<![A-Za-z0-9]){ISSUED}[A-Za-z0-9_-]{{16,}}", 16, 2.8, digits=0, letters=0),
     CharClass("hex", r"[0-9a-f]{16,}|[0-9A-F]{16,}", 16, 2.6),
     CharClass("upper", r"[A-Z0-9]{16,}", 16, 2.9),
     CharClass("lower", r"[a-z0-9]{16,}", 16, 3.1, digits=3),
@@ -79,7 +86,9 @@ class Rules:
         return self._compiled
 
 
-_CLOGC = [0.0] + [c * math.log2(c) for c in range(1, 257)]
+@cache
+def _clogc(most: int) -> list[float]:
+    return [0.0] + [c * math.log2(c) for c in range(1, most + 1)]
 
 
 def best_window(run: str, c: CharClass) -> float:
@@ -88,12 +97,13 @@ def best_window(run: str, c: CharClass) -> float:
     if len(run) < w:
         return -1.0
     counts: dict[str, int] = {}
+    clogc = _clogc(w + 1)
     total, best = 0.0, -1.0
     digits = lower = upper = 0
     for i, ch in enumerate(run):
         n = counts.get(ch, 0)
         counts[ch] = n + 1
-        total += _CLOGC[n + 1] - _CLOGC[n]
+        total += clogc[n + 1] - clogc[n]
         digits += "0" <= ch <= "9"
         lower += "a" <= ch <= "z"
         upper += "A" <= ch <= "Z"
@@ -101,7 +111,7 @@ def best_window(run: str, c: CharClass) -> float:
             old = run[i - w]
             n = counts[old]
             counts[old] = n - 1
-            total += _CLOGC[n - 1] - _CLOGC[n]
+            total += clogc[n - 1] - clogc[n]
             digits -= "0" <= old <= "9"
             lower -= "a" <= old <= "z"
             upper -= "A" <= old <= "Z"
@@ -137,25 +147,61 @@ def _pieces(whole: str, allowed: list[re.Pattern]) -> Iterator[tuple[int, str]]:
     yield at, whole[at:]
 
 
+def _reaches(piece: str, a: int, b: int) -> tuple[int, int]:
+    """The stretch from ``a`` to ``b`` with all letters and digits that follow on either side, and the segments beyond one break that are no words."""
+    while True:
+        before = a, b
+        while a and piece[a - 1].isalnum():
+            a -= 1
+        while b < len(piece) and piece[b].isalnum():
+            b += 1
+        for m in (_BEFORE.search(piece, 0, a), _AFTER.match(piece, b)):
+            if m and not _word(m.group(1)):
+                a, b = min(a, m.start()), max(b, m.end())
+        if (a, b) == before:
+            return a, b
+
+
+_BEFORE = re.compile(r"([A-Za-z0-9]{4,})[+/_-]\Z")
+_AFTER = re.compile(r"[+/_-]([A-Za-z0-9]{4,})")
+
+
+def _word(segment: str) -> bool:
+    """Letters of one case, a capitalised word, or a number."""
+    return segment.isdigit() or (segment.isalpha() and segment[1:].islower()) or (segment.isalpha() and segment.isupper()) or like_words(segment)
+
+
 def scan(text: str, rules: Rules = Rules()) -> list[tuple[int, int, str, float]]:
-    """Begin, end, class and entropy of each secret in ``text``; a stretch is reported once, by the first class that finds it."""
+    """Begin, end, class and entropy of each secret in ``text``, none of which overlap.
+
+    Runs found by several classes are one secret, as far as ``_reaches`` goes within its candidate; class and entropy are those of its longest run, of equal ones by
+    the order of the classes.
+    """
     classes, allowed = rules.compiled()
     out: list[tuple[int, int, str, float]] = []
     for m in CANDIDATE.finditer(text):
         whole = m.group()
         if whole in rules.allowed:
             continue
-        taken: list[tuple[int, int, str, float]] = []
-        pieces = list(_pieces(whole, allowed))
-        for c, run in classes:
-            for r, at in ((r, at) for at, piece in pieces for r in run.finditer(piece)):
-                a, b = r.start() + at, r.end() + at
-                if any(a < y and x < b for x, y, _, _ in taken) or r.group() in rules.allowed:
-                    continue
-                h = best_window(r.group(), c)
-                if h >= c.threshold and not (c.unlike_words and like_words(r.group())):
-                    taken.append((a, b, c.name, h))
-        out += sorted((m.start() + a, m.start() + b, k, h) for a, b, k, h in taken)
+        for at, piece in _pieces(whole, allowed):
+            found: list[tuple[int, int, int, float]] = []
+            for n, (c, run) in enumerate(classes):
+                for r in run.finditer(piece):
+                    if r.group() in rules.allowed:
+                        continue
+                    h = best_window(r.group(), c)
+                    if h >= c.threshold and not (c.unlike_words and like_words(r.group())):
+                        found.append((*r.span(), n, h))
+            merged: list[tuple[int, int, tuple[int, int, float]]] = []
+            for x, y, n, h in sorted(found):
+                a, b = _reaches(piece, x, y)
+                best = (x - y, n, h)
+                while merged and a < merged[-1][1]:
+                    a, b, best = min(a, merged[-1][0]), max(b, merged[-1][1]), min(best, merged[-1][2])
+                    merged.pop()
+                merged.append((a, b, best))
+            begin = m.start() + at
+            out += [(begin + a, begin + b, classes[n][0].name, h) for a, b, (_, n, h) in merged if piece[a:b] not in rules.allowed]
     return out
 
 
@@ -166,7 +212,7 @@ def find(docs: DataFrame, rules: Rules | None = None, allowed: Iterable[str] = (
     """``id``, ``begin``, ``end`` (characters from 0), ``kind``, ``entropy``, ``value_sha256``: one row per secret.
 
     The secret itself is not copied to the result. Null and empty texts have none; texts of any length are scanned whole;
-    repeated rows give theirs each time; other columns are ignored.
+    repeated rows give theirs each time; other columns are ignored, and an empty table gives an empty result. Which class wins where several find one secret is told by ``scan``.
     """
     rules = rules or Rules(allowed=frozenset(allowed))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -183,3 +229,33 @@ def find(docs: DataFrame, rules: Rules | None = None, allowed: Iterable[str] = (
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     got = src.mapInArrow(run, f"id {kind}, found array<struct<begin:int,end:int,kind:string,entropy:double,value_sha256:string>>")
     return got.select("id", F.explode("found").alias("s")).select("id", "s.*")
+
+
+def redact(text: str, rules: Rules = Rules()) -> str:
+    """``text`` with each secret replaced by ``<SECRET>``."""
+    parts, at = [], 0
+    for a, b, _, _ in scan(text, rules):
+        parts += [text[at:a], "<SECRET>"]
+        at = b
+    return "".join([*parts, text[at:]]) if parts else text
+
+
+def redacted(docs: DataFrame, rules: Rules | None = None, allowed: Iterable[str] = (), text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with each secret replaced by ``<SECRET>``; cases as in ``find``.
+
+    A size column, where there is one, is set to the new length. All other columns, of any name and type, stay. Null texts stay null.
+    """
+    rules = rules or Rules(allowed=frozenset(allowed))
+    plain = Rules(rules.classes, rules.allowed, rules.patterns)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(batch.columns)
+            cols[at] = pa.array([None if t is None else redact(t, plain) for t in cols[at].to_pylist()], cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+    out = docs.mapInArrow(run, docs.schema)
+    if size_col and size_col in docs.columns:
+        out = out.withColumn(size_col, F.when(F.col(text_col).isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
+    return out
