@@ -1,8 +1,9 @@
 """Personal data by a linear-chain conditional random field.
 
-Features are of a token's shape alone: its run-length-collapsed and its exact
-shape, its ends, the characters it holds. The field is trained by gradient descent on a
-small labelled table. Decoding is Viterbi in numpy batches over every token of every text. A token
+Features are of a token's shape: its run-length-collapsed and its exact
+shape, its ends, the characters it holds, and whether its numbers can be what they look like (check digits of cards and accounts, octets
+of addresses). The field is trained by gradient descent on a
+small labelled table, anew for every query. Decoding is Viterbi in numpy batches over every token of every text. A token
 whose score for "nothing" beats each other label by more than any transitions can
 return is certain to be nothing on the best path, so the chain is cut there and
 only what lies between such tokens is searched; the result is that of
@@ -11,17 +12,19 @@ Viterbi over the whole text.
 
 from __future__ import annotations
 
+import ipaddress
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = ("EMAIL", "PHONE", "IP", "CARD")
+KINDS = ("EMAIL", "PHONE", "IP", "CARD", "ID")
+#: The most rows of a labelled table that a field is trained on, those of the least hash.
+TRAIN_ROWS = 5000
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 N = len(LABELS)
 SPACE = re.compile(r"\s+")
@@ -54,6 +57,8 @@ _INNER = re.compile(r"(?:[,;:=|\"'`/\\<>\[\]{}&?#*!$]|\((?!\d{3}\))|(?<!\(\d{3})
 def pieces(token: str) -> list[str]:
     """The token cut at the separators inside of its core: pieces, with what was between them at the odd places."""
     a, b = core(token)
+    if ":" in token and _is_ip6(token[a:b]):
+        return [token]
     out, at = [], 0
     for m in _INNER.finditer(token, a, b):
         if a < m.start() and m.end() < b:
@@ -81,134 +86,201 @@ def collapsed(s: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", s, flags=re.S)
 
 
-def features(token: str) -> list[str]:
-    """The features of a token. All come from its shape, so tokens of one shape score alike."""
+_HEX_COLONS = re.compile(r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}")
+_ACCOUNT = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}")
+
+
+def _is_ip6(text: str) -> bool:
+    if not _HEX_COLONS.fullmatch(text):
+        return False
+    try:
+        return ipaddress.IPv6Address(text).packed[:2] != b"\0\0"
+    except ValueError:
+        return False
+
+
+def check_digit(digits: str) -> bool:
+    """Whether the doubled alternate digits sum up to a multiple of ten."""
+    d = [int(c) for c in reversed(digits)]
+    return (sum(d[0::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
+
+
+def is_card(digits: str) -> bool:
+    """14 to 16 digits of a card issuer whose check digit is right."""
+    return 14 <= len(digits) <= 16 and digits[0] in "3456" and digits.isascii() and check_digit(digits)
+
+
+def checks(text: str) -> tuple[str, ...]:
+    """What the digits of a core can be; the same for most tokens of one shape, but not for all."""
+    out = []
+    digits = re.sub(r"[.-]", "", text)
+    if digits.isdigit():
+        if is_card(digits):
+            out.append("card")
+        if digits[0] == "0" and len(digits) > 1:
+            out.append("zero")
+        quads = text.split(".")
+        if len(quads) == 4 and all(q and len(q) <= 3 and int(q) < 256 and (q[0] != "0" or q == "0") for q in quads):
+            out.append("quad")
+    elif ":" in text and _is_ip6(text):
+        out.append("ip6")
+    elif _ACCOUNT.fullmatch(text) and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1:
+        out.append("account")
+    return tuple(out)
+
+
+def grouped(cores: list[str]) -> list[bool]:
+    """Which tokens belong to a card number written in groups of 4, or of 4, 6 and 5 digits."""
+    out = [False] * len(cores)
+    sizes = [len(c) if c.isdigit() else 0 for c in cores]
+    for want in ([4, 4, 4, 4], [4, 6, 5]):
+        for i in range(len(cores) - len(want) + 1):
+            if sizes[i : i + len(want)] == want and is_card("".join(cores[i : i + len(want)])):
+                out[i : i + len(want)] = [True] * len(want)
+    return out
+
+
+def features(token: str, in_group: bool = False) -> list[str]:
+    """The features of a token. All come from its shape and its checks, so tokens alike in both score alike."""
     a, b = core(token)
     s = shape(token[a:b])
     c = collapsed(re.sub(r"[Xx]+", "x", s))
     digits = s.count("d")
-    n_dots = s.count(".")
-    quads = s.split(".")
-    ip = len(quads) == 4 and all(q and q.strip("d") == "" and len(q) <= 3 for q in quads)
     at = s.find("@")
     email = 0 < at < len(s) - 3 and s.count("@") == 1 and "." in s[at + 2 :] and not s.endswith(".") and not re.search(r"[^Xxd._%+@-]", s)
-    out = ["bias", f"c={c[:24]}", f"d={min(digits, 20)}", f"len={min(len(s), 24) // 3}", f"dots={min(n_dots, 4)}", f"first={s[:1]}", f"last={s[-1:]}", f"at={s.count('@')}"]
-    if len(s) <= 24 and digits:
-        out.append(f"s={s}")
-    if ip:
-        out.append("quad")
+    out = ["bias", f"c={c}", f"d={min(digits, 20)}", f"len={min(len(s), 24) // 3}", f"dots={min(s.count('.'), 4)}", f"first={s[:1]}", f"last={s[-1:]}", f"at={s.count('@')}"]
+    if digits:
+        out += [f"s={s}", *(f"check={x}" for x in checks(token[a:b]))]
+    elif ":" in s:
+        out += [f"check={x}" for x in checks(token[a:b])]
+    if not digits and not at + 1 and ":" not in s:
+        # Several features, so that what can't be part of any span soon scores far below nothing.
+        out += ["plain", f"plain={c}", f"plain first={s[:1]}", f"plain last={s[-1:]}"]
     if email:
         out.append("mail")
     if "(" in s or ")" in s:
-        out.append("paren=" + re.sub("[Xxd]+", "w", s)[:8])
+        out.append("paren=" + re.sub("[Xxd]+", "w", s))
     if digits and not any(ch in "Xx" for ch in s):
         out.append(f"numeric={digits}:{s.count('-')}")
+    if in_group:
+        out.append("group")
     return out
 
 
-def labelled_rows(seed: int = 5, n: int = 700) -> list[tuple[list[str], list[str]]]:
-    """The labelled table: tokens and labels of short sentences, with look-alikes that are no personal data."""
+def labelled_rows(seed: int = 5, n: int = 900) -> list[tuple[list[str], list[str]]]:
+    """The labelled table: tokens (as ``pieces`` cuts them) and labels of short made sentences, with look-alikes that are no personal data."""
     r = random.Random(seed)
-    low = "abcdefghijklmnopqrstuvwxyzéèöüñó"
+    low = "abcdefghijklmnopqrstuvwxyz"
 
-    def word() -> str:
-        w = "".join(r.choice(low) for _ in range(r.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 13, 16, 20, 26])))
-        w = r.choice([w, w, w, w.capitalize(), w.upper()])
-        return w + r.choice(["", "", "", "", ",", ".", "!!", "###", "***", "$$$", "&&&", "%%%", ";", ":", "?"])
+    def word(letters: str = low + "éèöüñóßçàø", sizes: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 13, 16, 20, 26)) -> str:
+        w = "".join(r.choice(letters) for _ in range(r.choice(sizes)))
+        return r.choice([w, w, w, w.capitalize(), w.upper()])
 
-    def digits(k: int) -> str:
-        return "".join(r.choice("0123456789") for _ in range(k))
+    def digits(*sizes: int) -> str:
+        return "".join(r.choice("0123456789") for _ in range(r.choice(sizes)))
 
     def glue() -> str:
-        return r.choice(["", "", "", "", ",", ".", "!!", "###", "***", "$$$", "&&&", "%%%", ")", ";"])
+        return r.choice(["", "", "", "", ",", ".", "!!", "?", ")", ";", "..."])
 
     def email() -> list[str]:
-        user = r.choice([f"{word().strip(',.!#*$&%;:?')}.{digits(2)}", f"{word().strip(',.!#*$&%;:?')}", f"{digits(3)}{word().strip(',.!#*$&%;:?')}", f"a{digits(1)}_{word().strip(',.!#*$&%;:?')}-x", f".{digits(2)}"[1:] + "b"])
-        host = r.choice(["mail{}.example.com", "host-{}.net", "mx.dept{}.example.org", "example{}.co.uk"]).format(digits(r.randint(1, 2)))
-        return [r.choice(["", "", "", "<", "("]) + user + "@" + host + r.choice([glue(), ">"])]
+        def name() -> str:
+            return word(low, (1, 2, 3, 4, 5, 6, 8, 10)).lower() + r.choice(["", "", "", digits(1, 2, 3)])
+
+        user = r.choice(["", "", digits(2, 3)]) + r.choice([".", "_", "-", "+", ""]).join(name() for _ in range(r.choice([1, 1, 2, 3])))
+        if r.random() < 0.15:
+            user = user.upper()
+        host = ".".join([r.choice(["", "", "", word(low, (1, 3, 5)).lower() + "-"]) + name() for _ in range(r.choice([1, 1, 2, 3]))])
+        return [r.choice(["", "", "", "<", "("]) + f"{user.strip('._+-') or 'a'}@{host}.{word(low, (2, 2, 3, 3, 4, 6)).lower()}" + r.choice([glue(), ">"])]
 
     def phone() -> list[str]:
-        a, b, c, k = digits(3), digits(3), digits(4), digits(r.randint(1, 2))
-        pick = r.randint(0, 9)
-        t = [f"+{k}", f"({a})", f"{b}-{c}"] if pick < 5 else [f"({a})", f"{b}-{c}"] if pick == 5 else [f"{a}-{b}-{c}"] if pick == 6 else [f"+{k}-{a}-{b}-{c}"] if pick == 7 else [f"+{k}", a, b, c] if pick == 8 else [f"{a}.{b}.{c}"]
+        a, b, c, k = digits(3), digits(3), digits(4), r.choice("123456789") + digits(0, 1)
+        t = r.choice(
+            [
+                [f"+{k}", f"({a})", f"{b}-{c}"], [f"+{k}", f"({a})", f"{b}-{c}"], [f"+{k}", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"+{k}-{a}-{b}-{c}"], [f"+{k}", a, b, c], [f"{a}.{b}.{c}"], [f"+{k}{digits(8, 9, 10)}"],
+                [f"0{digits(2)}", c, digits(4)], [f"0{digits(2)}", c, digits(4)], [f"0{digits(2)}", c, digits(4)], [f"(0{digits(2)})", c, digits(4)], [f"0{digits(4)}", digits(6)], [f"0{digits(3)}", digits(6, 7)], [f"0{digits(2)}", digits(7, 8)], [f"+{k}", digits(2), c, digits(4)], [f"+{k}", digits(4), digits(6)],
+                [f"+{k}", digits(2, 3), digits(6, 7, 8)], [f"+{k}", digits(1), digits(2), digits(2), digits(2), digits(2)], [f"0{digits(1)}", *(r.choice("123456789") + digits(1) for _ in range(4))],
+            ]
+        )
         return [*t[:-1], t[-1] + glue()]
 
+    def octets() -> str:
+        return ".".join(str(r.choice([r.randint(0, 9), r.randint(0, 255), r.randint(0, 255)])) for _ in range(4))
+
     def address() -> list[str]:
-        return [".".join(str(r.randint(0, 255)) for _ in range(4)) + glue()]
+        if r.random() < 0.8:
+            return [octets() + glue()]
+        full = [f"{r.randint(1, 65535):x}" for _ in range(8)]
+        return [r.choice([":".join(full), ":".join(x.zfill(4) for x in full), f"{full[0]}::{full[1]}", f"{full[0]}:{full[1]}:{full[2]}::{full[3]}"])]
+
+    def number(size: int, lead: str, valid: bool) -> str:
+        while True:
+            d = r.choice(lead) + digits(size - 1)
+            if check_digit(d) == valid:
+                return d
+
+    def in_groups(d: str, mark: str) -> list[str]:
+        parts = [d[:4], d[4:10], d[10:]] if len(d) == 15 else [d[i : i + 4] for i in range(0, len(d), 4)]
+        return mark.join(parts).split(" ")
 
     def card() -> list[str]:
-        return [r.choice("3456") + digits(15) + glue()] if r.random() < 0.7 else [digits(4), digits(4), digits(4), digits(4) + glue()] if r.random() < 0.7 else ["-".join(digits(4) for _ in range(4)) + glue()]
+        d = number(r.choice([16, 16, 16, 15, 14]), "3456", True)
+        t = [d] if r.random() < 0.6 or len(d) == 14 else in_groups(d, r.choice([" ", "-"]))
+        return [*t[:-1], t[-1] + glue()]
+
+    def no_card() -> list[str]:
+        size = r.choice([16, 16, 16, 15, 14])
+        d = r.choice([number(size, "3456", False), digits(13, 17, 18), number(size, "012789", True), number(size, "012789", False)])
+        return [d + glue()] if r.random() < 0.6 or len(d) not in (15, 16) else in_groups(d, r.choice([" ", "-"]))
+
+    def official() -> list[str]:
+        if r.random() < 0.5:
+            return [f"{digits(3)}-{digits(2)}-{digits(4)}" + glue()]
+        while True:
+            land, rest = word("ABCDEFGHIJKLMNOPQRSTUVWXYZ", (2,)).upper(), r.choice(["", word("ABCDEFGHIJKLMNOPQRSTUVWXYZ", (4,)).upper()]) + digits(12, 14, 18)
+            check = 98 - int("".join(str(int(c, 36)) for c in rest + land + "00")) % 97
+            return [f"{land}{check:02d}{rest}" + glue()]
 
     def other() -> list[str]:
-        return [
-            r.choice(
-                [
-                    digits(r.randint(1, 9)) + glue(), f"{digits(1)}.{digits(r.randint(1, 2))}.{digits(1)}", f"{digits(r.randint(1, 3))}.{digits(r.randint(1, 2))}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}",
-                    f"{digits(1)},{digits(3)},{digits(3)}", f"v{digits(1)}.{digits(1)}", f"#{digits(4)}", f"({digits(4)})", f"({digits(1)})", f"@{word()}", f"$={digits(3)}", f"https://{word()}/{digits(4)}", f"{digits(4)}-{digits(4)}", f"x{digits(20)}", digits(r.randint(18, 30)),
-                    "".join(r.choice("0123456789abcdef") for _ in range(r.choice([12, 16, 18, 32, 40]))), f"\"{''.join(r.choice('0123456789abcdef') for _ in range(40))}\"", "AKIA" + "".join(r.choice("ABCDEFGHJKMNPQRSTVWXYZ234567") for _ in range(16)),
-                    f"password={''.join(r.choice('0123456789abcdef') for _ in range(18))}", "|", "=", "CC", "BY-NC", f"{digits(1)}.0.", "(c)", "***", f"{word()}@", f"+{digits(1)}", f"{digits(3)}%", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)}-{digits(2)}",
-                ]
-            )
-        ]
-
-    makers = {"EMAIL": email, "PHONE": phone, "IP": address, "CARD": card}
+        hex_ = "".join(r.choice("0123456789abcdef") for _ in range(r.choice([8, 12, 16, 18, 32, 40, 64])))
+        return r.choice(
+            [
+                [digits(1, 2, 3, 4, 5, 6, 7, 8, 9, 10) + glue()], [digits(1, 2, 3, 4, 5, 6, 7, 8) + glue()], [f"{digits(1)}.{digits(1, 2)}.{digits(1)}"], [f"{digits(1, 2, 3)}.{digits(1, 2, 3)}"], [f"{digits(4)}-{digits(2)}-{digits(2)}"], [f"{digits(2)}:{digits(2)}"], [f"{digits(2)}:{digits(2)}:{digits(2)}"],
+                [f"v{digits(1)}.{digits(1)}"], [f"{digits(1, 2)}.{digits(1)}.{digits(4, 5)}.{digits(4, 5)}"], [".".join(r.sample([str(r.randint(256, 999)), *(str(r.randint(0, 300)) for _ in range(3))], 4))], [f"{digits(3)}-{digits(4)}-{digits(2)}"], [f"{digits(2, 3)}-{digits(1)}-{digits(2, 3)}-{digits(6)}-{digits(1)}"], [f"#{digits(4)}"], [f"({digits(1, 3, 4)})"], [f"@{word()}"], [f"{digits(4)}-{digits(4)}"], [f"{digits(3)}-{digits(4)}"], [f"x{digits(20)}"], [digits(20, 24, 30)],
+                [hex_], [f'"{hex_}"'], ["AKIA" + word("ABCDEFGHJKMNPQRSTVWXYZ234567", (16,)).upper()], [word("abcdef0123456789", (4,)).lower() + "-" + hex_[:4]], ["|"], ["="], ["CC"], ["BY-NC"], [f"{digits(1)}.0."], ["(c)"], ["***"], [f"{word()}@"], [f"{word()}@{word()}"], [f"+{digits(1, 2)}"], [f"{digits(3)}%"], [f"{digits(2)}.{digits(2)}.{digits(4)}"], [f"{digits(3)}-{digits(2)}"],
+                [r.choice("123456789") + digits(2), digits(4)], [digits(2), digits(2), digits(2)], [r.choice("123456789") + digits(2, 3) for _ in range(r.randint(2, 6))], [r.choice("123456789") + digits(2, 3) for _ in range(r.randint(2, 6))], [f"0{i}" for i in range(r.randint(1, 3), r.randint(4, 7))], [f"0.{digits(1, 2, 3)}"], [f"0{digits(1, 2)}"], [f"{digits(2)}-{digits(7)}"], [f"{word('ABCDEFGHIJ', (2,)).upper()}{digits(2, 6, 10, 14)}"], [f"{word('ABCDEFGHIJ', (2,)).upper()}{digits(14, 16, 20)}"], [f"{word('ABCDEFGHIJ', (2,)).upper()}{digits(2)}{word('KLMNOPQRS', (4,)).upper()}{digits(14, 18)}"], [digits(4), digits(4)],
+            ]
+        )
+
+    def between() -> str:
+        return r.choice([",", ";", ":", "|", '":"', '","', "=", "/", "&", ">,<"])
+
+    makers = {"EMAIL": email, "PHONE": phone, "IP": address, "CARD": card, "ID": official}
     rows = []
-    for _ in range(n):
+    for i in range(n):
         toks: list[str] = []
         labs: list[str] = []
-        for _ in range(r.randint(2, 7)):
-            for _ in range(r.randint(0, 4)):
-                toks.append(word())
+        glued = i % 4 == 0
+        for _ in range(r.randint(2, 6)):
+            for _ in range(r.choice([0, 0, 1]) if glued else r.randint(0, 4)):
+                toks.append(word() + ("" if glued else glue()))
                 labs.append("O")
-            pick = r.choice([*KINDS, "OTHER", "OTHER", "OTHER", "WORDS"])
-            if pick in makers:
-                t = makers[pick]()
-                toks += t
-                labs += [f"B-{pick}", *[f"I-{pick}"] * (len(t) - 1)]
-            elif pick == "OTHER":
-                toks += other()
+                if glued:
+                    toks.append(between())
+                    labs.append("O")
+            pick = r.choice([*KINDS, "OTHER", "OTHER", "OTHER", "CARDLESS", "WORDS"])
+            t = makers[pick]() if pick in makers else other() if pick == "OTHER" else no_card() if pick == "CARDLESS" else [word()]
+            toks += t
+            labs += [f"B-{pick}", *[f"I-{pick}"] * (len(t) - 1)] if pick in makers else ["O"] * len(t)
+            if glued:
+                toks.append(between())
                 labs.append("O")
-        if toks:
-            rows.append((toks, labs))
+        rows.append((toks, labs))
     return rows
 
 
-def glued_rows(seed: int = 6, n: int = 200) -> list[tuple[list[str], list[str]]]:
-    """Rows of pieces as ``pieces`` cuts them from text without blanks, with plain hosts and short addresses, and names, paths and numbers between them."""
-    r = random.Random(seed)
-
-    def name(a: int, b: int) -> str:
-        return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, b)))
-
-    def digits(a: int, b: int) -> str:
-        return "".join(r.choice("0123456789") for _ in range(r.randint(a, b)))
-
-    def email() -> str:
-        return r.choice(["", "", name(1, 6) + "."]) + name(1, 8) + r.choice(["", "", digits(1, 3)]) + "@" + r.choice(["", "", name(1, 5) + "."]) + name(1, 10) + "." + name(2, 4)
-
-    def address() -> str:
-        return ".".join(str(r.choice([r.randint(0, 9), r.randint(0, 255)])) for _ in range(4))
-
-    def phone() -> str:
-        return f"{digits(3, 3)}-{digits(3, 3)}-{digits(4, 4)}"
-
-    def card() -> str:
-        return r.choice("3456") + digits(15, 15)
-
-    def other() -> str:
-        return r.choice([name(1, 10), name(1, 10), digits(1, 9), digits(4, 4), f"{digits(4, 4)}-{digits(2, 2)}-{digits(2, 2)}T{digits(2, 2)}", f"{name(3, 8)}.{name(2, 4)}", f"{digits(1, 1)}.{digits(1, 2)}.{digits(1, 1)}", f"@{name(3, 8)}"])
-
-    makers = {"EMAIL": email, "PHONE": phone, "IP": address, "CARD": card, "O": other}
-    rows = []
-    for _ in range(n):
-        toks: list[str] = []
-        labs: list[str] = []
-        for _ in range(r.randint(1, 5)):
-            kind = r.choice(["EMAIL", "EMAIL", "IP", "IP", "PHONE", "CARD", "O", "O", "O"])
-            toks += [makers[kind](), r.choice([",", ";", ":", "|", '":"', '","', "=", "/", "&", ">,<"])]
-            labs += ["O" if kind == "O" else f"B-{kind}", "O"]
-        rows.append((toks[:-1], labs[:-1]))
-    return rows
+def labelled_table(spark: SparkSession, seed: int = 5, n: int = 900) -> DataFrame:
+    """``tokens`` and ``labels`` of ``labelled_rows``."""
+    return spark.createDataFrame(labelled_rows(seed, n), "tokens array<string>, labels array<string>")
 
 
 class Field:
@@ -224,9 +296,9 @@ class Field:
         #: By label, the most that choosing it over "O" can gain from the token's neighbours.
         self.margin = np.maximum.reduce([gain, first, ends, alone])
 
-    def score(self, token: str) -> tuple[np.ndarray, bool]:
+    def score(self, token: str, in_group: bool = False) -> tuple[np.ndarray, bool]:
         """The token's score by label, and whether it is certain to be "O"."""
-        ids = [i for f in features(token) if (i := self.index.get(f)) is not None]
+        ids = [i for f in features(token, in_group) if (i := self.index.get(f)) is not None]
         e = self.emit[ids].sum(axis=0)
         return e, bool(((e[0] - e)[1:] > self.margin[1:] + 1e-9).all())
 
@@ -254,56 +326,77 @@ class Field:
 
 
 def train(rows: list[tuple[list[str], list[str]]], steps: int = 140, rate: float = 0.12, decay: float = 1e-4) -> Field:
-    """Maximise the conditional likelihood of the labelled rows with Adam over the padded batch."""
+    """Maximise the conditional likelihood of the labelled rows with Adam over the padded batch.
+
+    Forward and backward sums are kept as probabilities and scaled at each place.
+    """
     number = {x: i for i, x in enumerate(LABELS)}
+    rows = [x for x in rows if x[0]]
+    if not rows:
+        return Field({}, np.zeros((1, N)), np.zeros((N, N)), np.zeros(N))
     index: dict[str, int] = {}
-    feats = [[[index.setdefault(f, len(index)) for f in features(t)] for t in toks] for toks, _ in rows]
-    b, length, width = len(rows), max(len(x) for x in feats), max(len(f) for x in feats for f in x)
-    dummy = len(index)
-    ids = np.full((b, length, width), dummy)
-    gold = np.zeros((b, length), int)
+    # Tokens that are alike share one row of scores.
+    kinds: dict[tuple[int, ...], int] = {}
+    b, length = len(rows), max(len(x) for x, _ in rows)
+    of = np.zeros((b, length), np.int64)
+    gold = np.zeros((b, length), np.int64)
     real = np.zeros((b, length), bool)
-    for i, (x, (_, labs)) in enumerate(zip(feats, rows, strict=True)):
-        for j, f in enumerate(x):
-            ids[i, j, : len(f)] = f
-            gold[i, j], real[i, j] = number[labs[j]], True
-    params = [np.zeros((dummy + 1, N)), np.zeros((N, N)), np.zeros(N)]
+    for i, (toks, labs) in enumerate(rows):
+        together = grouped([t[slice(*core(t))] for t in toks])
+        for j, (t, lab) in enumerate(zip(toks, labs, strict=True)):
+            ids = tuple(index.setdefault(f, len(index)) for f in features(t, together[j]))
+            of[i, j], gold[i, j], real[i, j] = kinds.setdefault(ids, len(kinds)), number[lab], True
+    flat = np.concatenate([np.array(k) for k in kinds])
+    width = np.array([len(k) for k in kinds])
+    begin = np.cumsum(width) - width
+    places, owner = of[real], np.repeat(np.arange(len(kinds)), width)
+    params = [np.zeros((len(index), N)), np.zeros((N, N)), np.zeros(N)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
     eye = np.eye(N)
+    both = real[:, 1:] & real[:, :-1]
+    seen = np.einsum("bti,btj->ij", eye[gold[:, :-1]] * both[..., None], eye[gold[:, 1:]])
     for step in range(1, steps + 1):
         emit, trans, start = params
-        e = emit[ids].sum(axis=2) * real[..., None]
-        alpha, beta = np.zeros((b, length, N)), np.zeros((b, length, N))
-        alpha[:, 0] = start + e[:, 0]
+        e = np.add.reduceat(emit[flat], begin, axis=0)[of]
+        e = np.where(real[..., None], np.exp(e - e.max(axis=2, keepdims=True)), 1.0)
+        go = np.exp(trans)
+        alpha, beta, scale = np.empty((b, length, N)), np.ones((b, length, N)), np.ones((b, length))
+        now = np.exp(start - start.max()) * e[:, 0]
+        alpha[:, 0] = now / now.sum(axis=1, keepdims=True)
         for t in range(1, length):
-            nxt = lse(alpha[:, t - 1, :, None] + trans, 1) + e[:, t]
-            alpha[:, t] = np.where(real[:, t, None], nxt, alpha[:, t - 1])
+            now = (alpha[:, t - 1] @ go) * e[:, t]
+            scale[:, t] = np.where(real[:, t], now.sum(axis=1), 1.0)
+            alpha[:, t] = np.where(real[:, t, None], now / scale[:, t, None], alpha[:, t - 1])
         for t in range(length - 2, -1, -1):
-            nxt = lse(trans[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(real[:, t + 1, None], nxt, 0)
-        z = lse(alpha[:, -1], 1)
-        prob = np.exp(alpha + beta - z[:, None, None]) * real[..., None]
+            back = ((e[:, t + 1] * beta[:, t + 1]) @ go.T) / scale[:, t + 1, None]
+            beta[:, t] = np.where(real[:, t + 1, None], back, 1.0)
+        prob = alpha * beta
+        prob = prob / prob.sum(axis=2, keepdims=True) * real[..., None]
         d_e = (eye[gold] * real[..., None] - prob) / b
-        g_emit = np.stack([np.bincount(ids.ravel(), np.repeat(d_e[..., k].ravel(), width), dummy + 1) for k in range(N)], axis=1)
-        both = real[:, 1:] & real[:, :-1]
-        pair = np.exp(alpha[:, :-1, :, None] + trans + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[..., None, None]
-        seen = np.einsum("bti,btj->ij", eye[gold[:, :-1]] * both[..., None], eye[gold[:, 1:]])
-        grads = [g_emit - decay * emit, (seen - pair.sum(axis=(0, 1))) / b - decay * trans, d_e[:, 0].sum(axis=0) - decay * start]
-        grads[0][dummy] = 0
+        by_kind = np.stack([np.bincount(places, d_e[..., k][real], len(kinds)) for k in range(N)], axis=1)
+        g_emit = np.stack([np.bincount(flat, by_kind[owner, k], len(index)) for k in range(N)], axis=1)
+        right = e[:, 1:] * beta[:, 1:] / scale[:, 1:, None] * both[..., None]
+        pair = go * np.einsum("bti,btj->ij", alpha[:, :-1], right, optimize=True)
+        grads = [g_emit - decay * emit, (seen - pair) / b - decay * trans, d_e[:, 0].sum(axis=0) - decay * start]
         for i, g in enumerate(grads):
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
             params[i] = params[i] + rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
     return Field(index, *params)
 
 
-@lru_cache(maxsize=2)
+def fit(labelled: DataFrame, most: int = TRAIN_ROWS) -> Field:
+    """A field trained on a table with ``tokens`` and ``labels`` (arrays of one length, the labels of LABELS), at most ``most`` rows of it, those of the least hash.
+
+    Rows with a null or of unequal lengths are left out; repeated rows count as often as they occur. Without any, everything is "O".
+    """
+    t = labelled.select(F.col("tokens").cast("array<string>").alias("tokens"), F.col("labels").cast("array<string>").alias("labels"))
+    t = t.filter((F.size("tokens") == F.size("labels")) & (F.size("tokens") > 0) & F.forall("tokens", lambda x: x.isNotNull()) & F.forall("labels", lambda x: x.isin(*LABELS)))
+    rows = t.orderBy(F.xxhash64("tokens", "labels"), "tokens", "labels").limit(most).collect()
+    return train([(r["tokens"], r["labels"]) for r in rows])
+
+
 def default_field(seed: int = 5) -> Field:
-    return train(labelled_rows(seed) + glued_rows(seed + 1))
+    return train(labelled_rows(seed))
 
 
 class _Memo(dict):
@@ -312,8 +405,10 @@ class _Memo(dict):
     def __init__(self, field: Field, most: int = 300_000):
         super().__init__()
         self.field, self.most = field, most
-        self.shapes: dict[str, np.ndarray | None] = {}
+        self.shapes: dict[tuple, np.ndarray | None] = {}
         self.cut: dict[str, list[str]] = {}
+        #: Tokens of one piece that are certain to be nothing.
+        self.nothing: set[str] = set()
 
     def pieces(self, token: str) -> list[str]:
         if (out := self.cut.get(token)) is None:
@@ -325,14 +420,17 @@ class _Memo(dict):
         return out
 
     def __missing__(self, token: str):
-        s = shape(token)
-        if s in self.shapes:
-            out = self.shapes[s]
+        a, b = core(token)
+        s, c = shape(token), token[a:b]
+        k = (s, checks(c))
+        if k in self.shapes:
+            out = self.shapes[k]
         else:
             e, certain = self.field.score(token)
             if len(self.shapes) >= self.most:
                 self.shapes.clear()
-            self.shapes[s] = out = None if certain else e
+            # What may be a group of a card number depends on its neighbours.
+            self.shapes[k] = out = None if certain and not (4 <= len(c) <= 6 and c.isdigit()) else e
         if len(self) >= self.most:
             self.clear()
         if len(token) <= 64:
@@ -346,15 +444,25 @@ def spans(field: Field, texts: list[str], memo: _Memo | None = None) -> list[lis
     What separators join without blanks is cut there; a separator is nothing for certain, so no span goes over it.
     """
     memo = _Memo(field) if memo is None else memo
+    nothing = memo.nothing
     runs: list[tuple[int, list[int]]] = []
     seqs: list[np.ndarray] = []
     tokens: list[list[str]] = []
     for i, text in enumerate(texts):
         toks, got = [], []
         for token in text.split():
-            for k, piece in enumerate(memo.pieces(token)):
+            if token in nothing:
+                toks.append(token)
+                got.append(None)
+                continue
+            cut = memo.pieces(token)
+            for k, piece in enumerate(cut):
                 toks.append(piece)
                 got.append(None if k % 2 else memo[piece])
+            if len(cut) == 1 and got[-1] is None and len(token) <= 64:
+                if len(nothing) >= memo.most:
+                    nothing.clear()
+                nothing.add(token)
         tokens.append(toks)
         at = [k for k, s in enumerate(got) if s is not None]
         if not at:
@@ -367,10 +475,10 @@ def spans(field: Field, texts: list[str], memo: _Memo | None = None) -> list[lis
                 runs.append((i, run))
                 run = [k]
         runs.append((i, run))
-        k = len(runs) - 1
-        while len(seqs) <= k:
-            j = len(seqs)
-            seqs.append(np.stack([got[q] for q in runs[j][1]]))
+        while len(seqs) < len(runs):
+            run = runs[len(seqs)][1]
+            together = grouped([toks[q][slice(*core(toks[q]))] for q in run]) if len(run) > 2 else ()
+            seqs.append(np.stack([field.score(toks[q], True)[0] if together and together[j] else got[q] for j, q in enumerate(run)]))
     paths = _decode(field, runs, seqs, [len(t) for t in tokens])
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     hits: dict[int, list[tuple[int, int]]] = {}
@@ -443,7 +551,8 @@ def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
     """``id``, ``begin``, ``end`` (characters from 0, end exclusive), ``kind``, ``value``: one row per span.
 
     Null and empty texts have no spans. Repeated rows give their spans each time, ids may be null, texts of any
-    length are searched whole, other columns are ignored.
+    length are searched whole, other columns are ignored, and an empty table gives an empty result. Spans of a text never overlap; where two labellings
+    score the same, the label that comes first in LABELS wins.
     """
     field = field or default_field()
     kind = docs.schema[id_col].dataType.simpleString()
