@@ -405,12 +405,14 @@ class _Memo(dict):
     def __init__(self, field: Field, most: int = 300_000):
         super().__init__()
         self.field, self.most = field, most
-        self.shapes: dict[tuple, np.ndarray | None] = {}
+        self.shapes: dict[str | tuple, np.ndarray | None] = {}
         self.cut: dict[str, list[str]] = {}
         #: Tokens of one piece that are certain to be nothing.
         self.nothing: set[str] = set()
 
     def pieces(self, token: str) -> list[str]:
+        if token.isalnum() or (token[:-1].isalnum() and token[-1] in ".,;:!?"):
+            return [token]
         if (out := self.cut.get(token)) is None:
             out = pieces(token)
             if len(self.cut) >= self.most:
@@ -420,9 +422,11 @@ class _Memo(dict):
         return out
 
     def __missing__(self, token: str):
-        a, b = core(token)
-        s, c = shape(token), token[a:b]
-        k = (s, checks(c))
+        s = shape(token)
+        k, c = s, ""
+        if "d" in s or ":" in s:
+            c = token[slice(*core(token))]
+            k = (s, checks(c))
         if k in self.shapes:
             out = self.shapes[k]
         else:
