@@ -48,6 +48,36 @@ def test_brute_force(spark):
     assert rows(got) == sorted(want, key=repr)
 
 
+def test_factors_against_brute_force(spark):
+    """Each document expects its own number of copies; the shares of the sources stay as they were set."""
+    import hashlib
+
+    data = [(i, "hot" if i % 10 else f"s{i % 3}", 10 + i % 7, [0.25, 1.0, 3.5, None, -1.0][i % 5]) for i in range(500)]
+    docs = spark.createDataFrame(data, "doc_id bigint, source string, n_chars bigint, score double")
+    rate = {r["source"]: r["rate"] for r in mixing.rates(docs, factor_col="score").collect()}
+    want = collections.Counter()
+    for s in rate:
+        at = int(hashlib.md5(f"4:{s}".encode()).hexdigest()[:8], 16) % mixing.UNIT
+        total = 0
+        for i, _, _, f in sorted((d for d in data if d[1] == s), key=lambda d: (hashlib.md5(str(d[0]).encode()).hexdigest(), d[2])):
+            f = round(max(f or 0, 0) * mixing.UNIT)
+            before, total = total, total + f
+            n = (at + total * rate[s] // mixing.UNIT) // mixing.UNIT - (at + before * rate[s] // mixing.UNIT) // mixing.UNIT
+            if n:
+                want[i] = n
+    got = collections.Counter(r["doc_id"] for r in mixing.mix(docs, seed=4, factor_col="score").collect())
+    assert got == want and not any(got[i] for i in range(500) if i % 5 > 2)
+    size = {s: sum(got[i] * n for i, src, n, _ in data if src == s) for s in rate}
+    weight = {r["source"]: r["weight"] for r in mixing.rates(docs, factor_col="score").collect()}
+    assert all(abs(size[s] / sum(size.values()) - weight[s] / sum(weight.values())) < 0.06 for s in rate)
+
+
+def test_ties_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "a", 6) for i in range(12)] + [(2, "other", "b", 6)], "doc_id bigint, text string, source string, n_chars bigint")
+    got = [rows(mixing.mix(docs.repartition(n, "text"), {"a": 1, "b": 1}, total=60, keep_cols=["doc_id", "text", "source"])) for n in (1, 2, 3, 7)]
+    assert got[0] == got[1] == got[2] == got[3] and 0 < len({r[1] for r in got[0]}) < 12
+
+
 def test_keep_all_drops_nothing(spark):
     docs = table(spark)
     assert mixing.mix(docs, keep_all=True).select("doc_id").distinct().count() == docs.count()
