@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftwork.llm.hashing import mix
 from siftwork.session import stored
@@ -92,15 +91,18 @@ def paragraph_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return lines.select("id", digest.alias("digest")).groupBy("id").agg(F.array_sort(F.collect_set("digest")).alias("digests"))
 
 
+def stretched(sets: DataFrame) -> DataFrame:
+    """``sets`` with ``stretch``, the number of the range of ids that a row lies in, ascending with the ids; stored."""
+    return stored(sets.repartitionByRange("id").withColumn("stretch", F.spark_partition_id()), "paragraphs")
+
+
 def previous_versions(sets: DataFrame) -> DataFrame:
-    """``id``, ``prev``, ``shared``: of the ids that come next before it among those with one of its paragraphs, the one met most often (the greatest on a tie).
+    """``id``, ``prev``: of the ids that come next before it among those with one of its paragraphs, the one met most often (the greatest on a tie).
 
-    Integer ids are looked up within stretches of ids first, so that a paragraph which
+    ``sets`` is that of ``stretched``. Ids of any type are looked up within their stretch first, so that a paragraph which
     very many documents have is spread over tasks.
     """
-    whole = isinstance(sets.schema["id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-    stretch = F.expr("id div 4096") if whole else F.lit(0)
-    p = sets.select("id", F.explode("digests").alias("digest"), stretch.alias("s"))
+    p = sets.select("id", F.explode("digests").alias("digest"), F.col("stretch").alias("s"))
     p = p.withColumn("near", F.lag("id").over(Window.partitionBy("digest", "s").orderBy("id")))
     last = p.groupBy("digest", "s").agg(F.max("id").alias("last"))
     last = last.withColumn("far", F.lag("last").over(Window.partitionBy("digest").orderBy("s"))).filter("far is not null").select(F.col("digest").alias("d2"), F.col("s").alias("s2"), "far")
@@ -112,7 +114,7 @@ def previous_versions(sets: DataFrame) -> DataFrame:
 def closest_versions(sets: DataFrame) -> DataFrame:
     """``id``, ``prev``: of all earlier ids the one that shares the most paragraphs; on a tie the one that ``previous_versions`` names, else the greatest.
 
-    ``sets`` is read several times, so it should be stored. Ids with the same shared paragraphs form a group, and pairs are counted once for a group. An id
+    ``sets`` is that of ``stretched``. Ids with the same shared paragraphs form a group, and pairs are counted once for a group. An id
     that shares more than the ``shared`` of ``previous_versions`` holds one of all but ``shared`` of the
     paragraphs that were met before; the rarest of these are looked up, so the choice is exact at any frequency.
     """
@@ -221,9 +223,9 @@ def version_diffs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The previous version is that of ``previous_versions``, or with ``closest`` that of ``closest_versions``.
     The last three are null where no earlier id shares a paragraph. Columns other than the id and the text are ignored;
-    an empty table gives an empty result.
+    an empty table gives an empty result, and texts of any length are taken whole: one of many paragraphs has a row of as many digests.
     """
-    sets = stored(paragraph_sets(docs, id_col, text_col), "paragraphs")
+    sets = stretched(paragraph_sets(docs, id_col, text_col))
     pairs = stored((closest_versions if closest else previous_versions)(sets), "versions")
     diff = differences(sets, pairs, cells).withColumnRenamed("id", "i")
     return sets.join(diff, F.col("id") == F.col("i"), "left").select("id", F.size("digests").alias("n_paragraphs"), "prev", "added", "removed")

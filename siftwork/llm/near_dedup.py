@@ -6,6 +6,10 @@ estimates a high similarity from 64 bytes. Banded samples give the
 candidates. Within a bucket, documents are joined by searching the bucket breadth first over the
 verified pairs, which gives the bucket's exact connected components without listing
 all pairs; the buckets' edges are then joined by alternating stars.
+
+A bucket of more than ``PART`` documents is cut into parts, each searched by a task of its own. What the parts leave apart is compared across them
+in blocks: the documents outside of the bucket's largest component against all of the bucket. So the components are those of the whole bucket,
+and near copies of one text, however many, cost one pass.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 BITS = 512
 THRESHOLD = 0.5
+#: The most documents of a bucket that one task compares with each other.
+PART = 4096
 
 _rng = np.random.RandomState(20140407)
 _A = (_rng.randint(0, 1 << 32, SAMPLES, np.uint64) << np.uint64(32)) | _rng.randint(0, 1 << 32, SAMPLES, np.uint64) | np.uint64(1)
@@ -141,13 +147,6 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.
         yield done.column(0).to_numpy(), done
 
 
-def _drop_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for keys, table in _by_key(batches):
-        same = np.zeros(len(keys) + 1, bool)
-        same[1:-1] = keys[1:] == keys[:-1]
-        yield from table.filter(pa.array(same[1:] | same[:-1])).to_batches()
-
-
 def _forest(ids: np.ndarray, bits: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Edges of a spanning forest of one bucket's verified pairs, by breadth-first search over what is still unvisited."""
     a: list[np.ndarray] = []
@@ -188,6 +187,42 @@ def _edges_in(most: int):
     return run
 
 
+def _across(most: int):
+    """Links between roots: of each block, the asking rows (``ask``) against all rows of other roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, table in _by_key(batches):
+            roots, ask = table.column("root").to_numpy(), table.column("ask").to_numpy(zero_copy_only=False)
+            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(roots), BITS // 64)
+            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                asks, rest = i + np.flatnonzero(ask[i:j]), i + np.flatnonzero(~ask[i:j])
+                for at in range(0, len(asks), 64):
+                    some = asks[at : at + 64]
+                    near = np.bitwise_count(bits[some][:, None] ^ bits[rest][None]).sum(axis=2, dtype=np.int32) <= most
+                    x, y = np.nonzero(near & (roots[some][:, None] != roots[rest][None]))
+                    if len(x):
+                        p = np.unique(np.stack([roots[some[x]], roots[rest[y]]], axis=1), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(p.max(axis=1)), pa.array(p.min(axis=1))], names=["u", "v"])
+
+    return run
+
+
+def _joined_parts(hot: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """``u``, ``v``: links between the components (``roots``) of buckets that were cut into parts. ``hot`` has ``key``, ``row``, ``sketch``."""
+    m = hot.join(roots, F.col("row") == F.col("node"), "left").select("key", "row", "sketch", F.coalesce("root", "row").alias("root"))
+    per_root = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    per_key = per_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    # Where one root has all of a bucket, nothing is left to compare.
+    per_key = per_key.filter("n > top.n").select(F.col("key").alias("k"), F.col("top.root").alias("top"), F.ceil(F.col("n") / PART).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("top.n")) / PART).cast("int").alias("ask_parts"))
+    m = m.join(per_key, F.col("key") == F.col("k"))
+    part = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    asks = m.filter("root <> top").select("key", part("ask_parts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("ask"), "root", "sketch")
+    rest = m.select("key", F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)).alias("i"), part("parts").alias("j"), F.lit(False).alias("ask"), "root", "sketch")
+    blocks = asks.unionByName(rest).select(F.xxhash64("key", "i", "j").alias("block"), "ask", "root", "sketch")
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_across(most), "u bigint, v bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root``: the least node of each connected component, for nodes other than the root.
 
@@ -210,7 +245,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``digest``, ``group_id``, ``keep``: one row per row of ``docs``.
+    """``id``, ``digest``, ``group_id``, ``n_links`` (to how many other rows it is linked, directly or through others), ``keep``: one row per row of ``docs``.
 
     Rows whose estimated Jaccard similarity over 3-word shingles reaches ``threshold`` are linked, and linked rows
     form a group, named by its least non-null id. ``keep`` is true for one row of each group, the one of least
@@ -225,14 +260,20 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     # Rows of equal samples share one node, so buckets hold it once.
     firsts = rows.filter("row = node").select("node")
     once = all_rows.filter("sketch is not null").join(firsts, F.col("row") == F.col("node"), "left_semi")
-    banded = once.select(F.explode("bands").alias("key"), "row").repartition("key").sortWithinPartitions("key", "row")
-    shared = banded.mapInArrow(_drop_single, "key bigint, row bigint")
-    with_bits = shared.join(all_rows.select(F.col("row").alias("r"), "sketch"), F.col("row") == F.col("r")).select("key", "row", "sketch")
-    edges = with_bits.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_edges_in(most_differing_bits(threshold)), "u bigint, v bigint")
+    banded = once.select(F.explode("bands").alias("key"), "row")
+    many = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "k")
+    shared = banded.join(many, F.col("key") == F.col("k")).select("key", "row", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    with_bits = stored(shared.join(all_rows.select(F.col("row").alias("r"), "sketch"), F.col("row") == F.col("r")).select("key", "row", "sketch", "parts"), "buckets")
+    most = most_differing_bits(threshold)
+    bucket = F.xxhash64("key", F.pmod(F.xxhash64("row"), F.col("parts")))
+    edges = with_bits.select(bucket.alias("bucket"), "row", "sketch").repartition("bucket").sortWithinPartitions("bucket", "row").mapInArrow(_edges_in(most), "u bigint, v bigint")
     roots = components(edges)
+    across = stored(_joined_parts(with_bits.filter("parts > 1"), roots, most), "across")
+    if not across.isEmpty():
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(across))
     placed = rows.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("row", "id", "digest", F.coalesce("root", "node").alias("g"))
-    best = placed.groupBy("g").agg(F.min("id").alias("group_id"), F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("best")).withColumnRenamed("g", "g2")
-    return placed.join(best, F.col("g") == F.col("g2")).select("id", "digest", "group_id", (F.col("row") == F.col("best")).alias("keep"))
+    best = placed.groupBy("g").agg(F.min("id").alias("group_id"), F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("best"), (F.count(F.lit(1)) - 1).alias("n_links")).withColumnRenamed("g", "g2")
+    return placed.join(best, F.col("g") == F.col("g2")).select("id", "digest", "group_id", "n_links", (F.col("row") == F.col("best")).alias("keep"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +282,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     kept = kept.groupBy("_id", "_digest").agg(F.count(F.lit(1)).alias("_kept"))
     digest = F.md5(F.col(text_col).cast("string"))
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), digest.alias("_d"))
-    # Equal rows with one id all match; as many of them stay as were kept.
+    # Rows of one id and text all match; as many of them stay as were kept, those that come first by their other columns.
     rows = rows.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & F.col("_d").eqNullSafe(F.col("_digest")))
-    nth = F.row_number().over(Window.partitionBy("_i", "_d").orderBy(F.lit(1)))
+    others = [F.col("_row")[f.name] for f in docs.schema if f.name not in (id_col, text_col) and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    nth = F.row_number().over(Window.partitionBy("_i", "_d").orderBy(*(others or [F.lit(1)])))
     return rows.withColumn("_n", nth).filter("_n <= _kept").select("_row.*")

@@ -27,8 +27,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its near-duplicate group and whether it stays."""
-    return near_dedup.near_groups(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "group_id", "keep")
+    """Every document with its near-duplicate group, the number of its links and whether it stays."""
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "group_id", "n_links", "keep")
 
 
 def op4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

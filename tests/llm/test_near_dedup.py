@@ -88,6 +88,34 @@ def test_hot_group(spark):
     assert nd.keep_one(df).count() == 1
 
 
+def test_buckets_cut_into_parts(spark, monkeypatch):
+    """Parts of a few documents give the groups that whole buckets give: one hot band of near copies, chains, and texts of which only some are alike."""
+    r = random.Random(8)
+    texts = [t for _, t in corpus(4)]
+    base = words(r, 120)
+    for i in range(150):
+        v = list(base)
+        # Every third is far from the base, so that a bucket holds several components.
+        for k in r.sample(range(len(v)), 45 if i % 3 == 0 else 3):
+            v[k] = words(r, 1)[0]
+        texts.append(" ".join(v))
+    w = list(base)
+    for i in range(40):
+        w = list(w)
+        w[3 * i % 120] = words(r, 1)[0]
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+    want = rows(nd.near_groups(df).select("id", "group_id", "n_links", "keep"))
+    assert len({x[1] for x in want}) > 60 and max(x[2] for x in want) > 50
+    monkeypatch.setattr(nd, "PART", 6)
+    assert rows(nd.near_groups(df).select("id", "group_id", "n_links", "keep")) == want
+
+
+def test_survivor_does_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(1, "the very same text of several words", "en", f"s{i}", i) for i in range(20)], SCHEMA)
+    assert {tuple(nd.keep_one(df.repartition(n, "source")).collect()[0]) for n in (1, 3, 5)} == {(1, "the very same text of several words", "en", "s0", 0)}
+
+
 def test_odd_rows(spark):
     got = rows(nd.near_groups(odd(spark)).select("id", "group_id", "keep"))
     by = {}
