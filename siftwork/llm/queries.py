@@ -84,6 +84,11 @@ def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.trees(_table(spark, sf_dir, "conversations"))
 
 
+def op8_chat_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node in which each conversation ends."""
+    return chat.members(_table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span of personal data in the documents."""
     return pii.find(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_archive": op6_warc_archive,
     "op7_bpe": op7_bpe,
     "op8_chat_trees": op8_chat_trees,
+    "op8_chat_members": op8_chat_members,
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
 }
@@ -165,4 +171,9 @@ ORACLE_SQL: dict[str, str] = {
                rd as record_digest, rd as restored_digest
         from x
     """,
+    "op8_chat_members": """
+        with t as (select distinct conv_id, turn, coalesce(role, '') as role, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) as h from conversations where conv_id is not null),
+        c as (select conv_id, list(h order by turn nulls first, role, h) as hs from t group by conv_id)
+        select conv_id, hs[1] as tree_id, list_reduce(list_prepend('', hs), lambda a, h: md5(a || h)) as node, len(hs)::int as n_turns from c
+    """,
 }

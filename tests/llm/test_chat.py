@@ -1,4 +1,5 @@
-from siftwork.llm import bpe, chat
+from siftwork.llm import bpe, chat, queries
+from tools.compare import compare
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 V = bpe.Vocabulary.load()
@@ -8,6 +9,11 @@ def checked(spark, data, extra=""):
     """Rebuild every conversation from the trees."""
     df = spark.createDataFrame([(*r, *([0] * len(extra.split(",")) if extra else [])) for r in data], SCHEMA + (", " + extra if extra else ""))
     nodes = chat.trees(df).collect()
+    ends = {}
+    for m in chat.members(df).collect():
+        ends.setdefault(m["node"], []).append(m["conv"])
+    by = {n["node"]: n for n in nodes}
+    assert len(by) == len(nodes)
     convs = {}
     for c, t, r, x in dict.fromkeys(data):
         if c is not None:
@@ -23,7 +29,13 @@ def checked(spark, data, extra=""):
         assert own == list(range(len(own)))
     seen = set()
     for n in nodes:
-        for c in n["ending"]:
+        assert n["n_ending"] == len(ends.get(n["node"], [])) and (n["parent"] is None) == (n["depth"] == 0)
+        assert n["n_conversations"] == n["n_ending"] + sum(k["n_conversations"] for k in nodes if k["parent"] == n["node"])
+        if n["parent"]:
+            assert by[n["parent"]]["depth"] == n["depth"] - 1 and by[n["parent"]]["tree_id"] == n["tree_id"]
+        gaps = [(i["end"], j["begin"]) for i, j in zip(n["ancestors"], n["ancestors"][1:])]
+        assert all(a < b for a, b in gaps) and all(i["begin"] < i["end"] for i in n["ancestors"])
+        for c in ends.get(n["node"], []):
             seen.add(c)
             path = [places[(n["tree_id"], k)] for i in [*n["ancestors"], {"begin": n["begin"], "end": n["end"]}] for k in range(i["begin"], i["end"])]
             assert [p for _, p in path] == list(range(len(path)))
@@ -46,10 +58,10 @@ DATA = [
 def test_shared_turns_are_written_once(spark):
     nodes = checked(spark, DATA)
     assert len(nodes) == 6 and len({n["tree_id"] for n in nodes}) == 2
-    both = next(n for n in nodes if n["ending"] == [1, 6])
-    assert both["n_conversations"] == 2 and both["depth"] == 2 and len(both["ancestors"]) == 2
-    root = next(n for n in nodes if n["ending"] == [5])
-    assert root["n_conversations"] == 5 and root["begin"] == 0
+    both = next(n for n in nodes if n["n_ending"] == 2)
+    assert both["n_conversations"] == 2 and both["depth"] == 2 and len(both["ancestors"]) <= 2
+    root = next(n for n in nodes if n["depth"] == 0 and n["n_conversations"] > 1)
+    assert root["n_conversations"] == 5 and root["n_ending"] == 1 and root["begin"] == 0
 
 
 def test_odd_rows(spark):
@@ -70,3 +82,20 @@ def test_wide_and_deep(spark):
     data = [(c, 0, "system", "s") for c in range(300)] + [(c, 1, "user", f"u{c % 50}") for c in range(300)] + [(1000, t, "user", str(t)) for t in range(60)]
     nodes = checked(spark, data)
     assert len(nodes) == 1 + 50 + 60
+    assert max(len(n["ancestors"]) for n in nodes) <= 2
+
+
+def test_one_very_long_conversation(spark):
+    """Its nodes attend to one interval each, so the result grows with the turns and not with their square."""
+    data = [(1, t, "user", f"{t} {t % 7}") for t in range(2000)] + [(2, t, "user", f"{t} {t % 7}" if t < 1500 else "other") for t in range(1600)]
+    nodes = {n["node"]: n for n in chat.trees(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert len(nodes) == 2000 + 100
+    assert max(len(n["ancestors"]) for n in nodes.values()) <= 2
+    assert sum(n["end"] - n["begin"] for n in nodes.values()) == max(n["end"] for n in nodes.values())
+    last = max(nodes.values(), key=lambda n: n["depth"])
+    assert last["position_ids"][-1] + 1 == sum(i["end"] - i["begin"] for i in last["ancestors"]) + last["end"] - last["begin"]
+
+
+def test_members_match_sql(spark, small):
+    said = compare(spark, small, "op8_chat_members", queries.QUERIES["op8_chat_members"], queries.ORACLE_SQL["op8_chat_members"])
+    assert said.startswith("ok"), said
