@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import text
 from siftwork.operators import history, score
-from siftwork.session import stored
+from siftwork.session import spread, stored
 
 #: Ages are counted from here; the events end two days before.
 AS_OF = "2024-02-01 00:00:00"
+_TEXTS = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # Tables of texts, whose rows are worth the shuffle.
+    return spread(df, _TEXTS[name]) if name in _TEXTS else df
 
 
 def as_of() -> Column:

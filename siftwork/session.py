@@ -55,3 +55,12 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` redistributed by ``key`` where its scan has fewer splits than the session has cores, so that all of them work.
+
+    What is shuffled is at most one split for each core; a table of as many splits or more is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
