@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm import additive, bpe, chat, iblt, mixing, near_dedup, pii, quality, secrets, warc
+from siftwork.session import spread
+
+
+#: Tables of texts, whose rows are worth being spread.
+_TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, _TEXTS[name]) if name in _TEXTS else df
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
