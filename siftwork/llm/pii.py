@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwork.llm.hashing import chunks
+
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "ID")
 #: The most rows of a labelled table that a field is trained on, those of the least hash.
 TRAIN_ROWS = 5000
@@ -402,7 +404,7 @@ def default_field(seed: int = 5) -> Field:
 class _Memo(dict):
     """Scores by token, emptied when it has grown."""
 
-    def __init__(self, field: Field, most: int = 300_000):
+    def __init__(self, field: Field, most: int = 150_000):
         super().__init__()
         self.field, self.most = field, most
         self.shapes: dict[str | tuple, np.ndarray | None] = {}
@@ -531,12 +533,17 @@ def _offsets(text: str, toks: list[str]) -> list[int]:
 _SPAN = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())])
 
 
+def _in_chunks(field: Field, texts: list[str], memo: _Memo) -> list[list[tuple[int, int, str]]]:
+    """``spans`` of about a million characters at a time, as their tokens take many times the room of the texts."""
+    return [x for a, b in chunks(map(len, texts), 1 << 20) for x in spans(field, texts[a:b], memo)]
+
+
 def _find(field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(field)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = spans(field, texts, memo)
+            found = _in_chunks(field, texts, memo)
             rows = [[{"begin": a, "end": b, "kind": k, "value": t[a:b]} for a, b, k in s] for t, s in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(_SPAN))], names=["id", "spans"])
 
@@ -577,7 +584,7 @@ def redacted(docs: DataFrame, field: Field | None = None, text_col: str = "text"
         memo = _Memo(field)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            found = spans(field, [t or "" for t in texts], memo)
+            found = _in_chunks(field, [t or "" for t in texts], memo)
             clean = [None if t is None else redact(t, s) for t, s in zip(texts, found, strict=True)]
             cols = list(batch.columns)
             cols[at] = pa.array(clean, cols[at].type)
