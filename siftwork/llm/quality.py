@@ -20,6 +20,8 @@ from siftwork.llm.hashing import chunks, span_hashes
 PASSAGE = 1000
 #: The most labelled documents that a model is trained on, those of the least hash.
 TRAIN_DOCS = 4000
+#: The most passages of a document that a model is trained on; all are scored.
+PASSAGES = 256
 ENCODED, GATES = 32, 16
 
 _CLASSES = 12
@@ -179,7 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
     """Fit on at most ``most`` labelled documents, those whose ids have the least hashes.
 
     Null ids and labels are left out; a document with several labels takes their majority, the higher one
-    on a tie. Documents repeated under one id are all used. Labels of one kind, or none, give a constant model.
+    on a tie. Documents repeated under one id are all used. Labels of one kind, or none, give a constant model, as do empty tables.
+    Of a document with very many passages ``PASSAGES`` are learned from, spread evenly over all of it, so that what reaches the driver is bounded in bytes, too.
     """
     y = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
@@ -196,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             x, owner, _, _ = passages(texts)
             cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-            rows = [x[cut[i] : cut[i + 1]].astype(np.float16).tobytes() for i in range(len(texts))]
+            rows = [x[a + np.arange(min(b - a, PASSAGES)) * (b - a) // max(1, min(b - a, PASSAGES))].astype(np.float16).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["id", "y", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -212,7 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_cols: list[str] | None = None) -> DataFrame:
     """``keep_cols`` (by default the id), ``quality_score``, ``n_passages``, ``top_passage``.
 
-    Null, empty and blank texts have a null score and no top passage. Every row is scored by itself, repeated ones alike.
+    Null, empty and blank texts have a null score and no top passage. Every row is scored by itself, repeated ones alike; all passages of a text of any length count;
+    of passages that weigh the same the first is the top one. An empty table gives an empty result.
     """
     keep = keep_cols or [id_col]
 
