@@ -108,6 +108,20 @@ def near_pairs(prints: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS
     return met.filter(F.col("mask") == first).select("a", "b", hamming(F.col("x"), F.col("y")).alias("distance"))
 
 
+def members(prints: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """``key``, ``lead`` (the least key of its fingerprint), ``n_links``: how many other keys ``near_pairs`` pairs it with, counted without listing pairs of copies.
+
+    Null fingerprints are left out.
+    """
+    p = prints.filter("simhash is not null")
+    lead = p.groupBy("simhash").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("copies"))
+    pairs = near_pairs(lead.select(F.col("lead").alias("key"), "simhash"), threshold, bands)
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p")).select("p.*")
+    others = both.join(lead.select(F.col("lead").alias("y1"), "copies"), F.col("y") == F.col("y1")).groupBy("x").agg(F.sum("copies").alias("others"))
+    total = lead.join(others, F.col("lead") == F.col("x"), "left").select(F.col("simhash").alias("s"), "lead", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return p.join(total, F.col("simhash") == F.col("s")).select("key", "lead", "n_links")
+
+
 def near_links(prints: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """``a``, ``b``: pairs enough to connect what ``near_pairs`` connects; equal fingerprints are linked to one of them only."""
     lead = prints.filter("simhash is not null").groupBy("simhash").agg(F.min("key").alias("lead"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +44,15 @@ def feedback_stats(sessions: DataFrame, feedback: DataFrame) -> DataFrame:
     return s.crossJoin(feedback.agg(F.count(F.lit(1)).alias("records"), F.avg("utilization").alias("avg_utilization")))
 
 
-def updated_weights(feedback: DataFrame, current: Weights = Weights(), rate: float = 0.1) -> DataFrame:
-    """One row: ``recency``, ``size``, ``proximity``, ``dependency``, ``records``, ``avg_utilization``.
+def updated_weights(feedback: DataFrame, current: Weights = Weights(), rate: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each group ``by`` that has used files: ``recency``, ``size``, ``proximity``, ``dependency``, ``records``, ``avg_utilization``.
 
     If well used files are smaller than others on average, size weighs 1.2 times as much, else 0.8; if others scored higher, recency weighs
     1.3 times as much. Weights move there by ``rate`` and are brought to sum 1. Without well used files they stay.
     """
     high, low = F.col("utilization") >= HIGH, F.col("utilization") < HIGH
-    a = with_utilization(feedback).agg(
+    used = with_utilization(feedback)
+    a = (used.groupBy(*by) if by else used).agg(
         F.count(F.lit(1)).alias("records"),
         F.avg(F.col("utilization").cast("double")).alias("avg_utilization"),
         F.count_if(high).alias("n_high"),
@@ -67,7 +70,7 @@ def updated_weights(feedback: DataFrame, current: Weights = Weights(), rate: flo
     moved = a.withColumns({k: F.lit((1.0 - rate) * now[k]) + F.lit(rate * now[k]) * f for k, f in factor.items()})
     total = F.col("recency") + F.col("size") + F.col("proximity") + F.col("dependency")
     learned = {k: F.when(F.col("n_high") > 0, F.col(k) / total).otherwise(F.lit(float(now[k]))).alias(k) for k in factor}
-    return moved.select(*learned.values(), "records", "avg_utilization")
+    return moved.select(*by, *learned.values(), "records", "avg_utilization")
 
 
 def latest(snapshots: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Ranks and running sums over a whole table, or over groups of it, without one task sorting it all.
 
-Rows fall into buckets by the order of magnitude of their value. Buckets are ranked among
-each other from their totals, rows within their bucket.
+Rows fall into buckets: by the order of magnitude of their value, and rows of one magnitude by the range of (value, keys) that they lie in, so that even
+a table of equal values is spread over tasks. Buckets are ranked among each other from their totals, rows within their bucket.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.session import stored
+
 STEPS = 64
 _LOW = 1 << 16
 
@@ -27,10 +29,12 @@ def ranked(df: DataFrame, value: Column, keys: Sequence[str], weight: Column | N
     """
     by = list(by)
     rows = df.withColumns({"_v": value.cast("double"), "_w": F.lit(0).cast("long") if weight is None else weight.cast("long")})
-    rows = rows.withColumn("_bucket", bucket(F.col("_v")))
+    rows = rows.withColumn("_order", bucket(F.col("_v")))
     groups = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_g{i}") for i, c in enumerate(by)]
     names = [f"_g{i}" for i in range(len(by))]
-    rows = rows.select("*", *groups)
+    # Ranges are cut at sampled quantiles of the order itself, so a bucket is a range, too; written, as a second sample could cut elsewhere.
+    rows = rows.select("*", *groups).repartitionByRange("_order", F.desc("_v"), *keys, *names)
+    rows = stored(rows.withColumn("_bucket", F.spark_partition_id()).drop("_order"), "ranges")
     sums = rows.groupBy(*names, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_s"))
     before = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(

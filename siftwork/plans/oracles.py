@@ -234,6 +234,12 @@ _UTIL = (
     used as (select conv_id, turn, round(case when len(ids) = 0 then 0 else len(list_intersect(ids, seen)) / len(ids)::double end::float::double, 6) as utilization from u)"""
 )
 
+
+
+def _three(c: str) -> str:
+    return f"printf('%.3f', round_even(({c})::double, 3))"
+
+
 ORACLE_SQL: dict[str, str] = {
     "token_estimate": f"select doc_id, {_tokens('text')} as tokens from documents",
     "content_md5": "select doc_id, md5(text) as digest from documents",
@@ -277,7 +283,7 @@ ORACLE_SQL: dict[str, str] = {
     "simhash": f"with {_prints()} select key as doc_id, simhash from prints",
     "lsh_bands": f"with {_prints()} select key as doc_id, (x.i)::int as band, (x.v)::int as value from (select key, unnest([{{'i': 0, 'v': simhash & 65535}}, {{'i': 1, 'v': (simhash >> 16) & 65535}}, {{'i': 2, 'v': (simhash >> 32) & 65535}}, {{'i': 3, 'v': (simhash >> 48) & 65535}}]) as x from prints)",
     "hamming_pairs": f"with {_prints()}, leads as (select min(key) as key, simhash from prints group by simhash), {_PAIRS % ('leads', 8)} select a, b, distance from pairs",
-    "hamming_pairs_documents": f"with {_prints()}, {_PAIRS % ('prints', 8)} select a, b, distance from pairs",
+    "hamming_members": f"with {_prints()}, {_PAIRS % ('prints', 8)}, links as (select a as key from pairs union all select b from pairs) select p.key as doc_id, min(p.key) over (partition by p.simhash) as lead, coalesce(n.n, 0)::bigint as n_links from prints p left join (select key, count(*) as n from links group by key) n on n.key = p.key",
     "near_dup_groups": f"with recursive {_prints()}, {_PAIRS % ('prints', 3)}, {_GROUPS} select key as doc_id, label from groups",
     "near_dup_groups_wide": f"with recursive {_prints()}, {_PAIRS % ('prints', 8)}, {_GROUPS} select key as doc_id, label from groups",
     "near_dedup": f"with recursive {_prints()}, {_PAIRS % ('prints', 8)}, {_GROUPS} select d.doc_id, d.source from documents d left join groups g on g.key = d.doc_id where g.key is null or g.key = g.label",
@@ -313,16 +319,17 @@ ORACLE_SQL: dict[str, str] = {
         a as (select count(*) as scanned, count(distinct digest) as exact_left from entries), c as (select sum(token_count) as left_tokens from scored), u as (select count(*) as n, sum(token_count) as used from scored where doc_id in (select doc_id from picked))
         select scanned, scanned - exact_left as exact_removed, 0::bigint as near_removed, n as files_selected, used::bigint as tokens_used, {BUDGET}::bigint as tokens_budget, round(left_tokens / greatest(used, 1)::double, 6) as compression_ratio from a, c, u
     """,
-    "render_l1_lines": f"with {_SCORED}, r as (select *, row_number() over (order by composite_score desc, path) as rank from scored) select rank, path || '  [' || token_count || ' tokens]' as line from r where 12 * rank <= {L1_TOKENS} or rank = 1",
+    "render_l1_lines": f"with {_SCORED}, r as (select *, row_number() over (order by composite_score desc, path) as rank from scored) select rank, path || '  [' || token_count || ' tokens, score=' || {_three('composite_score')} || ']' as line from r where 12 * rank <= {L1_TOKENS} or rank = 1",
     "render_l2_blocks": _GREEDY
-    + """
-        select k.pick_order, chr(10) || '### ' || s.path || chr(10) || '- **Tokens**: ' || s.token_count || chr(10) || '- **Score**: ' || chr(10) || '- **Signals**: recency, size, proximity'
-            || case when h.path is null then '' else chr(10) || '- **Git**: days ago, ' || h.commit_count || ' commits' end || chr(10) || '- **Language**: ' || upper(s.language[1]) || s.language[2:] as block
+    + f"""
+        select k.pick_order, chr(10) || '### ' || s.path || chr(10) || '- **Tokens**: ' || s.token_count || chr(10) || '- **Score**: ' || {_three('s.composite_score')} || chr(10)
+            || '- **Signals**: recency=' || {_three('s.recency')} || ', size=' || {_three('s.size_score')} || ', proximity=0.000'
+            || case when h.path is null then '' else chr(10) || '- **Git**: ' || printf('%.1f', round_even(h.age_days, 1)) || ' days ago, ' || h.commit_count || ' commits' end || chr(10) || '- **Language**: ' || upper(s.language[1]) || s.language[2:] as block
         from picked k join scored s using (doc_id) left join history h on h.path::bigint = s.doc_id
     """,
     "render_l3_files": _GREEDY
-    + """
-        select k.pick_order, '<file path="' || s.path || '" tokens="' || s.token_count || '" score="">' || chr(10) || d.text || case when d.text like '%' || chr(10) then '' else chr(10) end || '</file>' as file
+    + f"""
+        select k.pick_order, '<file path="' || s.path || '" tokens="' || s.token_count || '" score="' || {_three('s.composite_score')} || '">' || chr(10) || d.text || case when d.text like '%' || chr(10) then '' else chr(10) end || '</file>' as file
         from picked k join scored s using (doc_id) join documents d using (doc_id)
     """,
     "utilization": _UTIL + " select conv_id, turn, utilization from used",
@@ -348,7 +355,21 @@ ORACLE_SQL: dict[str, str] = {
         from t
     """,
     "latest_weights": _FEEDBACK
-    + " select regexp_extract(session_id, '[0-9]+')::bigint as created_at, session_id, round(avg(utilization), 6) as avg_utilization from fb where utilization is not null group by session_id order by created_at desc, session_id desc, avg_utilization desc limit 1",
+    + """,
+        a as (
+            select session_id, count(*) as records, avg(utilization) as avg_utilization, count(*) filter (utilization >= 0.5) as nh, count(*) filter (utilization < 0.5) as nl,
+                   avg(token_count) filter (utilization >= 0.5) as th, avg(token_count) filter (utilization < 0.5) as tl,
+                   avg(composite_score) filter (utilization >= 0.5) as sh, avg(composite_score) filter (utilization < 0.5) as sl
+            from fb where utilization is not null group by session_id
+        ),
+        f as (select *, case when nh > 0 and nl > 0 and sl > sh then 1.3 else 1.0 end::double as rf, case when nh > 0 and nl > 0 then case when th < tl then 1.2 else 0.8 end else 1.0 end::double as sf from a),
+        w as (select *, 0.9 * 0.4 + 0.1 * 0.4 * rf as r, 0.9 * 0.15 + 0.1 * 0.15 * sf as z from f),
+        t as (select *, r + z + 0.2 + 0.25 as total from w)
+        select regexp_extract(session_id, '[0-9]+')::bigint as created_at, session_id, case when nh > 0 then round(r / total, 6) else 0.4 end::double as recency, case when nh > 0 then round(z / total, 6) else 0.15 end::double as size,
+               case when nh > 0 then round(0.2 / total, 6) else 0.2 end::double as proximity, case when nh > 0 then round(0.25 / total, 6) else 0.25 end::double as dependency,
+               round(avg_utilization, 6) as avg_utilization, records
+        from t order by created_at desc, session_id desc, recency desc, size desc limit 1
+    """,
     "feedback_upsert": _FEEDBACK + " select distinct session_id, file_path, token_count, coalesce(utilization, 0.0) as utilization from fb",
     "cache_hits": _LISTINGS + " select o.path, o.hash from new n join old o using (path, mtime, size)",
     "cache_fresh": _LISTINGS + " select path, mtime from new where (path, mtime, size) not in (select (path, mtime, size) from old)",

@@ -216,9 +216,9 @@ def hamming_pairs(spark, d):
 
 
 @query
-def hamming_pairs_documents(spark, d):
-    """Pairs of documents whose fingerprints are within eight bits, copies too."""
-    return dedup.near_pairs(stored(_prints(spark, d), "prints"), threshold=8)
+def hamming_members(spark, d):
+    """Every document with the least one of its fingerprint, which stands for it in ``hamming_pairs``, and the number of documents within eight bits of it, copies too."""
+    return dedup.members(stored(_prints(spark, d), "prints"), threshold=8).withColumnRenamed("key", "doc_id")
 
 
 @query
@@ -353,10 +353,9 @@ def pack_stats(spark, d):
 
 @query
 def render_l1_lines(spark, d):
-    """The skeleton's lines; scores are in columns of their own, as engines round ties differently in text."""
+    """The skeleton's lines, whole."""
     p = render.l1_prefix(T.scored(spark, d), L1_TOKENS)
-    lines = render.l1_lines(p)
-    return lines.select(F.col("rank").cast("long").alias("rank"), F.regexp_replace("text", r", score=[0-9.]+\]$", "]").alias("line"))
+    return render.l1_lines(p).select(F.col("rank").cast("long").alias("rank"), F.col("text").alias("line"))
 
 
 def _chosen(spark, d):
@@ -367,16 +366,14 @@ def _chosen(spark, d):
 
 @query
 def render_l2_blocks(spark, d):
-    b = render.l2_blocks(_chosen(spark, d))
-    plain = F.regexp_replace(F.regexp_replace("text", r"(Score\*\*: )[0-9.]+", "$1"), r"(recency|size|proximity)=[0-9.]+", "$1")
-    return b.select("pick_order", F.regexp_replace(plain, r"[0-9.]+ days", "days").alias("block"))
+    return render.l2_blocks(_chosen(spark, d)).select("pick_order", F.col("text").alias("block"))
 
 
 @query
 def render_l3_files(spark, d):
     c = _chosen(spark, d).select(F.col("doc_id").alias("i"), "path", "token_count", "composite_score", "pick_order")
     full = c.join(_docs(spark, d).select("doc_id", F.col("text").alias("content")), F.col("i") == F.col("doc_id"))
-    return render.l3_files(full).select("pick_order", F.regexp_replace("text", r'^(<file path="[^"]*" tokens="[0-9]+" score=")[0-9.]+', "$1").alias("file"))
+    return render.l3_files(full).select("pick_order", F.col("text").alias("file"))
 
 
 # Feedback
@@ -431,10 +428,10 @@ def updated_weights(spark, d):
 
 @query
 def latest_weights(spark, d):
-    """The newest of the weights that each source would learn on its own; a source's name dates it."""
-    f = T.feedback(spark, d).filter("utilization is not null")
-    w = f.groupBy("session_id").agg(F.avg("utilization").alias("avg_utilization")).withColumn("created_at", F.regexp_extract("session_id", r"\d+", 0).cast("long"))
-    return fb.latest(w.select("created_at", "session_id", F.round("avg_utilization", 6).alias("avg_utilization")))
+    """The newest of the weights that each source learns from its own feedback; a source's name dates it."""
+    w = fb.updated_weights(T.feedback(spark, d), by=["session_id"])
+    numbers = [F.round(c, 6).alias(c) for c in ("recency", "size", "proximity", "dependency", "avg_utilization")]
+    return fb.latest(w.select(F.regexp_extract("session_id", r"\d+", 0).cast("long").alias("created_at"), "session_id", *numbers, "records"))
 
 
 @query

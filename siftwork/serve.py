@@ -20,7 +20,7 @@ TOOLS: dict[str, tuple[str, dict, list[str], Callable[..., str]]] = {
         "Choose the files of a corpus that are worth most under a token budget, and give their text.",
         {"repo": _TEXT, "budget": _NUMBER, "output": _TEXT, "focus": {"type": "array", "items": _TEXT}, "include_signatures": _YES},
         ["repo"],
-        lambda spark, a: api.pack_context(spark, a["repo"], a.get("budget") or 128_000, a.get("output") or "l3", a.get("focus") or (), bool(a.get("include_signatures"))),
+        lambda spark, a: api.pack_context(spark, a["repo"], 128_000 if a.get("budget") is None else int(a["budget"]), a.get("output") or "l3", a.get("focus") or (), bool(a.get("include_signatures"))),
     ),
     "index_stats": ("Count the files, tokens and languages of a corpus.", {"repo": _TEXT}, ["repo"], lambda spark, a: api.index_stats(spark, a["repo"])),
     "submit_feedback": (
@@ -39,15 +39,19 @@ TOOLS: dict[str, tuple[str, dict, list[str], Callable[..., str]]] = {
 
 
 def _call(spark: SparkSession, params: dict) -> dict:
-    if (tool := TOOLS.get(params.get("name", ""))) is None:
-        raise KeyError(f"no such tool: {params.get('name')}")
+    if not isinstance(params, dict) or not isinstance(name := params.get("name"), str) or (tool := TOOLS.get(name)) is None:
+        raise KeyError("no such tool")
     args = params.get("arguments") or {}
+    if not isinstance(args, dict):
+        raise KeyError("arguments must be an object")
     if lacking := [k for k in tool[2] if k not in args]:
         raise KeyError(f"missing: {', '.join(lacking)}")
     try:
         return {"content": [{"type": "text", "text": tool[3](spark, args)}], "isError": False}
-    except SiftworkError as e:
-        return {"content": [{"type": "text", "text": str(e)}], "isError": True}
+    except Exception as e:  # noqa: BLE001
+        # What a tool meets (a folder that is gone, an argument of another kind, a failed job) is the caller's to know and must not end the server.
+        said = str(e) if isinstance(e, SiftworkError) else f"{type(e).__name__}: {e}"
+        return {"content": [{"type": "text", "text": said[:2000]}], "isError": True}
 
 
 def answer(spark: SparkSession, message: dict) -> dict | None:

@@ -1,13 +1,13 @@
 """Sessions, feedback records and learned weights as tables in one folder.
 
 Each call appends a version of the rows it writes; readers take the newest of each key, so that a
-write never changes files that another job reads. ``compact`` rewrites a table without the old versions.
+write never changes files that another job reads. ``compact`` appends the newest rows once more and only
+then deletes the files that it read, so a crash in between leaves rows twice, of which readers take one.
 """
 
 from __future__ import annotations
 
 import time
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -54,16 +54,15 @@ class Store:
         rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").parquet(self._path(name))
 
     def compact(self, name: str) -> None:
-        """Write the newest rows to a new folder and put it in the table's place."""
+        """Write the newest rows anew, then delete the files that held them and their older versions. Rows appended meanwhile are in files of their own and stay."""
         if not self._exists(self._path(name)):
             return
-        new = f"{self._path(name)}-{uuid.uuid4().hex}"
-        self._read(name).write.parquet(new)
+        old = self.spark.read.schema(_TABLES[name][0]).parquet(self._path(name)).inputFiles()
+        self._read(name).write.mode("append").parquet(self._path(name))
         jvm = self.spark.sparkContext._jvm
-        old, p = jvm.org.apache.hadoop.fs.Path(self._path(name)), jvm.org.apache.hadoop.fs.Path(new)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(p, old)
+        for file in old:
+            p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, False)
 
     def create_session(self, id_: str, repo: str, budget: int, created_at: int) -> None:
         self._append("sessions", self.spark.createDataFrame([(id_, repo, budget, created_at)], "id string, repo string, budget bigint, created_at bigint"))

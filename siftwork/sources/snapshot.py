@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from dataclasses import asdict
 
@@ -51,32 +52,39 @@ def _fs(spark: SparkSession, path: str):
 
 
 def save(entries: DataFrame, folder: str, root: str, opts: ScanOptions) -> str:
-    """Write the rows to a new version below ``folder`` and then point the manifest at it; a reader that meets neither scans anew. Gives the version's path."""
+    """Write the rows to a new version below ``folder``, then a manifest that names it, and only then delete the older manifests: a reader always finds one. Gives the version's path."""
     spark = entries.sparkSession
     version = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
     entries.write.parquet(version)
     fs, path = _fs(spark, folder)
     manifest = json.dumps({"version": SCHEMA_VERSION, "options": options_hash(opts), "root": root, "table": version})
-    new, final = path(f"{folder}/manifest.{uuid.uuid4().hex}"), path(f"{folder}/manifest.json")
-    out = fs.create(new, True)
+    old = _manifests(spark, folder)
+    name = f"{folder.rstrip('/')}/manifest-{time.time_ns():020d}-{uuid.uuid4().hex}"
+    out = fs.create(path(f"{name}.new"), True)
     try:
         out.write(bytearray(manifest.encode()))
     finally:
         out.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    if not fs.rename(new, final):
-        raise OSError(f"the manifest in {folder} could not be replaced")
+    if not fs.rename(path(f"{name}.new"), path(f"{name}.json")):
+        raise OSError(f"the manifest in {folder} could not be written")
+    for p in old:
+        fs.delete(path(p), False)
     return version
 
 
+def _manifests(spark: SparkSession, folder: str) -> list[str]:
+    """The manifests below ``folder``, the newest last."""
+    fs, path = _fs(spark, folder)
+    found = fs.globStatus(path(f"{folder.rstrip('/')}/manifest-*.json"))
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 def load(spark: SparkSession, folder: str, root: str, opts: ScanOptions) -> DataFrame | None:
     """The snapshot's rows; None where there is none, or one of another version, root or options."""
-    fs, path = _fs(spark, folder)
-    final = path(f"{folder.rstrip('/')}/manifest.json")
-    if not fs.exists(final):
+    found = _manifests(spark, folder)
+    if not found:
         return None
-    raw = "\n".join(r[0] for r in spark.read.text(final.toString()).collect())
+    raw = "\n".join(r[0] for r in spark.read.text(found[-1]).collect())
     try:
         m = json.loads(raw)
     except ValueError:
