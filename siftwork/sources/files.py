@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import batched
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -29,21 +31,99 @@ def uri(root: str | Path) -> str:
     return root.rstrip("/") if urlparse(root).scheme else "file://" + str(Path(root).resolve())
 
 
-def _walk(root: str, skip: frozenset[str]) -> Iterator[tuple[str, int, int]]:
-    """Relative path, time and size of all regular files below a local folder; skipped folders are not entered."""
-    todo = [""]
+IGNORE_FILES = (".gitignore", ".ignore")
+#: As many folders as the driver looks for before tasks take over.
+FAN = 64
+_Rules = tuple[str, list[tuple[bool, re.Pattern]]]
+
+
+def _rules(root: str, at: str, names: tuple[str, ...] = IGNORE_FILES) -> list[_Rules]:
+    """The rules of the ignore files in the folder ``at``, which count for what is below it."""
+    lines: list[str] = []
+    for name in names:
+        file = Path(root, at, name)
+        if file.is_file():
+            lines += file.read_text(errors="replace").splitlines()
+    found = [(ignore, re.compile(rx)) for ignore, rx in scan.gitignore_rules(lines)]
+    return [(at, found)] if found else []
+
+
+def _general(root: str) -> list[_Rules]:
+    """The user's own rules, then those of the repository's exclude file; read on the driver, as tasks may run elsewhere."""
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+    return [*_rules(home, "", ("git/ignore",)), *_rules(root, "", (".git/info/exclude",))]
+
+
+def _above(root: str, at: str) -> list[_Rules]:
+    """The rules of the ignore files from the root to above the folder ``at``, the nearest last."""
+    parts = at.split("/") if at else []
+    return [x for i in range(len(parts)) for x in _rules(root, "/".join(parts[:i]))]
+
+
+def _is_ignored(path: str, folder: bool, rules: list[_Rules]) -> bool:
+    """By the last rule that matches; what is below an ignored folder is never asked for."""
+    out = False
+    for base, found in rules:
+        rel = (path[len(base) + 1 :] if base else path) + ("/" if folder else "")
+        for ignore, rx in found:
+            if rx.search(rel):
+                out = ignore
+    return out
+
+
+def _walk(root: str, start: str, skip: frozenset[str], deep: bool = True, general: list[_Rules] | None = None) -> Iterator[tuple[str, int, int, bool]]:
+    """Relative path, time, size and kind (whether a folder) of what is in the folder ``start``, and with ``deep`` of all regular files below it; skipped and ignored folders are not entered. Without ``general`` rules nothing is ignored."""
+    ignore_files = general is not None
+    todo = [(start, general + _above(root, start) if ignore_files else [])]
     while todo:
-        at = todo.pop()
-        with os.scandir(f"{root}/{at}" if at else root) as found:
+        at, rules = todo.pop()
+        if ignore_files:
+            rules = rules + _rules(root, at)
+        try:
+            found = os.scandir(f"{root}/{at}" if at else root)
+        except (FileNotFoundError, PermissionError):
+            if not at:
+                raise
+            continue
+        with found:
             for e in found:
                 rel = f"{at}/{e.name}" if at else e.name
                 if e.name in skip:
                     continue
                 if e.is_dir(follow_symlinks=False):
-                    todo.append(rel)
-                elif e.is_file():
-                    st = e.stat()
-                    yield rel, int(st.st_mtime), st.st_size
+                    if _is_ignored(rel, True, rules):
+                        continue
+                    if deep:
+                        todo.append((rel, rules))
+                    else:
+                        yield rel, 0, 0, True
+                elif e.is_file() and not _is_ignored(rel, False, rules):
+                    try:
+                        st = e.stat()
+                    except FileNotFoundError:
+                        continue
+                    yield rel, int(st.st_mtime), st.st_size, False
+
+
+def _local(spark: SparkSession, root: str, skip: frozenset[str], most: int, ignore_files: bool) -> DataFrame:
+    """The driver looks for folders until there are some; tasks list what is in those and below them."""
+    flat, todo = [], [""]
+    general = _general(root) if ignore_files else None
+    while todo and len(todo) < FAN:
+        flat.append(todo.pop(0))
+        todo += [p for p, _, _, folder in _walk(root, flat[-1], skip, False, general) if folder]
+        if len(flat) >= FAN:
+            break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = ((p, m, s) for p, m, s, folder in _walk(root, start, skip, deep, general) if not folder and s <= most)
+                for some in batched(found, 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "mtime", "size"])
+
+    tasks = spark.createDataFrame([(d, False) for d in flat] + [(d, True) for d in todo], "folder string, deep boolean")
+    return tasks.repartition(len(flat) + len(todo)).mapInArrow(run, "path string, mtime bigint, size bigint")
 
 
 def _remote(spark: SparkSession, base: str) -> Iterator[tuple[str, int, int]]:
@@ -58,17 +138,20 @@ def _remote(spark: SparkSession, base: str) -> Iterator[tuple[str, int, int]]:
         yield name[cut:], f.getModificationTime() // 1000, f.getLen()
 
 
-def listing(spark: SparkSession, root: str | Path, opts: scan.ScanOptions, rules: list | None = None) -> DataFrame:
-    """``path`` (relative to the root), ``mtime`` (seconds), ``size``: files whose path is kept and whose size may pass.
+def listing(spark: SparkSession, root: str | Path, opts: scan.ScanOptions, ignore_files: bool = True) -> DataFrame:
+    """``path`` (relative to the root), ``mtime`` (seconds), ``size``: files whose path is kept and whose size may pass, with those whose names begin with a dot or an underscore.
 
-    Listed on the driver, as Spark's own file index does, but with files whose names begin with a dot or an underscore.
+    Folders are listed by tasks, which must see the root as the driver does. Ignore files count in every folder for what is below it, after the user's
+    and the repository's own; not on other file systems, whose listing comes from the driver.
     """
     base = uri(root)
     skip = frozenset([*opts.extra_ignore, paths.OWN_STATE])
-    names = _walk(base.removeprefix("file://"), skip) if base.startswith("file://") else _remote(spark, base)
-    table = pa.Table.from_pylist([{"path": p, "mtime": m, "size": s} for p, m, s in names if s <= opts.max_bytes], pa.schema([("path", pa.string()), ("mtime", pa.int64()), ("size", pa.int64())]))
-    files = spark.createDataFrame(table).filter(scan.kept_path(F.col("path"), opts))
-    return files.filter(~scan.ignored(F.col("path"), rules)) if rules else files
+    if base.startswith("file://"):
+        files = _local(spark, base.removeprefix("file://"), skip, opts.max_bytes, ignore_files)
+    else:
+        table = pa.Table.from_pylist([{"path": p, "mtime": m, "size": s} for p, m, s in _remote(spark, base) if s <= opts.max_bytes], pa.schema([("path", pa.string()), ("mtime", pa.int64()), ("size", pa.int64())]))
+        files = spark.createDataFrame(table)
+    return files.filter(scan.kept_path(F.col("path"), opts))
 
 
 def read(listed: DataFrame, root: str | Path) -> DataFrame:
@@ -96,12 +179,6 @@ def read(listed: DataFrame, root: str | Path) -> DataFrame:
     return listed.mapInArrow(run, out)
 
 
-def ignore_rules(root: str | Path) -> list:
-    """The rules of the ignore files at a local root; none for other file systems."""
-    p = Path(str(root))
-    return scan.gitignore_rules([x for name in (".gitignore", ".ignore") if (p / name).is_file() for x in (p / name).read_text().splitlines()])
-
-
 def derive(files: DataFrame, opts: scan.ScanOptions, with_ast: bool = True) -> DataFrame:
     """The entries of ``files`` that are text and small enough: ``DERIVED``."""
     keep = files.filter(F.col("content").isNotNull() & ~scan.is_binary(F.col("content"))).withColumn("text", F.decode("content", "UTF-8"))
@@ -119,7 +196,8 @@ def discover(spark: SparkSession, root: str | Path, opts: scan.ScanOptions, as_o
     from it, and a new snapshot is written where anything changed. Raises EmptyCorpusError where nothing is left.
     """
     as_of = F.current_timestamp() if as_of is None else as_of
-    files = listing(spark, root, opts, ignore_rules(root))
+    # Several steps read the listing, and it should be the same for all of them.
+    files = stored(listing(spark, root, opts), "listing")
     old = snapshot.load(spark, state, uri(root), opts) if state else None
     if old is None:
         entries = stored(derive(read(files, root), opts, with_ast or state is not None), "entries")

@@ -61,5 +61,5 @@ def latest(spark: SparkSession, table: str, listing: DataFrame | None = None) ->
 
 def missing(spark: SparkSession, root: str, table: str, opts: ScanOptions = ScanOptions()) -> DataFrame:
     """Entries of watched files that the index lacks or has with another time or size."""
-    listed = files.listing(spark, root, opts).filter(paths.is_watched(F.col("path")))
+    listed = files.listing(spark, root, opts, ignore_files=False).filter(paths.is_watched(F.col("path")))
     return files.derive(files.read(snapshot.fresh(listed, latest(spark, table)), root), opts)

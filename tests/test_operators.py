@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwork.functions.scores import Weights
-from siftwork.operators import dedup, feedback, graph, history, render, scan, structure
-from siftwork.sources import commits, snapshot
+from siftwork.operators import dedup, feedback, graph, history, ranking, render, scan, structure
+from siftwork.sources import commits, files, snapshot
 
 
 def rows(df, *cols):
@@ -212,3 +212,49 @@ def test_snapshot(spark, tmp_path):
     assert rows(snapshot.load(spark, at, "r", opts), "path") == [("a",)]
     assert snapshot.load(spark, at, "other", opts) is None
     assert snapshot.load(spark, at, "r", scan.ScanOptions(max_bytes=1)) is None
+
+
+def test_equal_scores_are_ranked_by_many_tasks(spark):
+    df = spark.range(40_000).select(F.col("id"), F.lit(0.0).alias("score"), F.lit(2).alias("w"))
+    # Ranges as small as these would be put together.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranking.ranked(df, F.col("score"), ["id"], F.col("w"), cum="c")
+        sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 30_000
+    assert got.filter("rank <> id + 1 or c <> 2 * (id + 1)").count() == 0
+
+
+def test_members_count_links_of_copies(spark):
+    rows = [(1, 0b0), (2, 0b0), (3, 0b111), (4, 0b111), (5, 0b1111), (6, -1), (7, None)]
+    df = spark.createDataFrame(rows, "key bigint, simhash bigint")
+    pairs = dedup.near_pairs(df)
+    n = {r["key"]: r["n"] for r in pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {r["key"]: (r["lead"], r["n_links"]) for r in dedup.members(df).collect()}
+    assert got == {1: (1, n[1]), 2: (1, n[2]), 3: (3, n[3]), 4: (3, n[4]), 5: (5, n[5]), 6: (6, 0)}
+
+
+def test_ignore_files_in_every_folder(spark, tmp_path, monkeypatch):
+    """Nested rules, re-inclusion, the repository's exclude file and the user's own; many folders, listed by tasks."""
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "home"))
+    root = tmp_path / "repo"
+    texts = {
+        "home/git/ignore": "*.swp\n", "repo/.git/info/exclude": "secret.txt\n", "repo/.gitignore": "*.log\n/only_top\nout/\n", "repo/a/.gitignore": "!keep.log\nlocal.txt\n/b/deep.txt\n", "repo/a/b/.ignore": "*.tmp\n",
+        "repo/x.log": "", "repo/x.swp": "", "repo/x.txt": "", "repo/secret.txt": "", "repo/only_top": "", "repo/a/only_top": "", "repo/out/f.txt": "", "repo/a/out/f.txt": "", "repo/a/keep.log": "", "repo/a/other.log": "", "repo/a/local.txt": "", "repo/local.txt": "",
+        "repo/a/b/deep.txt": "", "repo/a/b/c/deep.txt": "", "repo/a/b/c/z.tmp": "", "repo/z.tmp": "", "repo/a/b/c/keep.log": "",
+    }
+    for i in range(90):
+        texts[f"repo/many/d{i}/e/f{i}.txt"] = "x"
+    for name, body in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    got = {r["path"] for r in files.listing(spark, root, scan.ScanOptions(extra_ignore=(".git",))).collect()}
+    many = {f"many/d{i}/e/f{i}.txt" for i in range(90)}
+    assert many <= got
+    assert got - many == {".gitignore", "a/.gitignore", "a/b/.ignore", "x.txt", "a/only_top", "a/keep.log", "local.txt", "a/b/c/deep.txt", "a/b/c/keep.log", "z.tmp"}
+    with_all = {r["path"] for r in files.listing(spark, root, scan.ScanOptions(extra_ignore=()), ignore_files=False).collect()}
+    assert len(with_all) == len(texts) - 1
+    with pytest.raises(FileNotFoundError):
+        files.listing(spark, tmp_path / "nowhere", scan.ScanOptions())

@@ -152,6 +152,31 @@ def test_server(spark, repo):
     assert [g["error"]["code"] for g in got[4:]] == [-32602, -32602, -32601, -32700, -32600]
 
 
+def test_server_outlives_errors(spark, repo, tmp_path):
+    def call(n, name, **arguments):
+        return {"jsonrpc": "2.0", "id": n, "method": "tools/call", "params": {"name": name, "arguments": arguments}}
+
+    calls = [call(1, "index_stats", repo=str(tmp_path / "nowhere")), call(2, "pack_context", repo=str(repo), budget="many"), {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": [1]}, call(4, "pack_context", repo=str(repo), budget=0, output="l3"), {"jsonrpc": "2.0", "id": 5, "method": "ping"}]
+    out = io.StringIO()
+    serve(spark, io.StringIO("\n".join(map(json.dumps, calls))), out)
+    got = {r["id"]: r for r in map(json.loads, out.getvalue().splitlines())}
+    assert got[1]["result"]["isError"] and got[2]["result"]["isError"] and got[3]["error"]["code"] == -32602
+    assert "<file" not in got[4]["result"]["content"][0]["text"] and got[5]["result"] == {}
+
+
+def test_compaction_keeps_what_is_newest(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.compact("feedback")
+    row = lambda n: spark.createDataFrame([("s", f"f{i}", i, 0.5, True, n / 10) for i in range(3)], "session_id string, file_path string, token_count bigint, composite_score double, was_selected boolean, utilization double")
+    for n in (1, 2, 3):
+        store.record(row(n))
+    want = sorted(map(tuple, store.records().collect()))
+    before = len(list((tmp_path / "store" / "feedback").glob("*.parquet")))
+    store.compact("feedback")
+    assert sorted(map(tuple, store.records().collect())) == want and {r[-1] for r in want} == {0.3}
+    assert len(list((tmp_path / "store" / "feedback").glob("*.parquet"))) < before
+
+
 def test_config(tmp_path):
     assert Config.load(tmp_path / "none.toml") == Config()
     (tmp_path / "siftwork.toml").write_text('max_file_tokens = 5\n[selection]\nsolver = "kkt"\n[selection.diversity]\nenabled = false\n[weights]\nrecency = 1.0\n')
