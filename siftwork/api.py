@@ -71,7 +71,7 @@ def learned_weights(spark: SparkSession, root: str, run_learning: bool = False,
         few = config.feedback.strict and store.stats()["sessions"] < config.feedback.min_sessions
         w = None if few else store.learn(config.weights, config.feedback.learning_rate, int(time.time()))
         if w is None:
-            return "No feedback data available for learning. Using default weights.\n"
+            return "Nothing to learn from yet; the default weights stay.\n"
         return "\n".join(["Learning cycle complete. Updated weights:", *_lines(w), ""])
     row = store.latest_weights()
     if row is None:
