@@ -47,11 +47,11 @@ ODD = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u200b", "\u00a0", "\u2028", "\u
 
 
 @pytest.mark.parametrize("length", [bpe.LONG_PIECE - 2, bpe.LONG_PIECE, bpe.LONG_PIECE + 3, bpe.WINDOW - 1, bpe.WINDOW, bpe.WINDOW + 2])
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_runs_of_odd_characters(length, seed):
     """Runs that begin, end or are broken by spaces of all kinds; a text without progress would never end."""
     r = random.Random(f"{length} {seed}")
-    for _ in range(5):
+    for _ in range(4):
         a, b, c = r.choice(ODD), r.choice(ODD), r.choice(ODD)
         for t in (a + b * length, a * length + b + c * length, (a + b) * (length // 2) + c, a + b * length + c):
             assert bpe.encode(V, t) == want(t), (a, b, c)
