@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.session import stored
+from siftwork.session import forget, stored
 
 SHINGLE, BANDS, THRESHOLD = 3, 4, 3
 
@@ -142,7 +142,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u")))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = stored(small.select(F.explode(ends).alias("e")).select("e.*").filter("u > v").distinct(), "links")
+        before, now = now, stored(small.select(F.explode(ends).alias("e")).select("e.*").filter("u > v").distinct(), "links")
+        forget(before)
         found = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if found == mark:
             roots = now.select(F.col("v").alias("key")).distinct()

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Where this process has stored tables.
+_made: list[str] = []
 
 
 def local_session(cores: int | None = None, memory: str = "12g", partitions: int | None = None) -> SparkSession:
@@ -53,8 +55,31 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind what ``stored`` gave, once nothing reads it any more."""
+    _delete(df.sparkSession, df._stored_at)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that this process has stored and not forgotten; how many. Results that still read them must have been written."""
+    paths = list(_made)
+    for p in paths:
+        _delete(spark, p)
+    return len(paths)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

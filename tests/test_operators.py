@@ -1,11 +1,13 @@
 """Duplicates, graph, structure, history, scans, rendering, feedback, snapshots."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from siftwork import session
 from siftwork.functions.scores import Weights
 from siftwork.operators import dedup, feedback, graph, history, ranking, render, scan, structure
 from siftwork.sources import commits, files, snapshot
@@ -258,3 +260,19 @@ def test_ignore_files_in_every_folder(spark, tmp_path, monkeypatch):
     assert len(with_all) == len(texts) - 1
     with pytest.raises(FileNotFoundError):
         files.listing(spark, tmp_path / "nowhere", scan.ScanOptions())
+
+
+def test_stored_tables_are_deleted(spark, tmp_path):
+    def tables():
+        return {p for p in session._made if os.path.exists(p.removeprefix("file://"))}
+
+    df = session.stored(spark.range(5), "numbers")
+    assert df.count() == 5 and df._stored_at in tables()
+    session.forget(df)
+    assert df._stored_at not in session._made and not os.path.exists(df._stored_at.removeprefix("file://"))
+    before = tables()
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)], "a bigint, b bigint")
+    assert {r["label"] for r in dedup.components(links).collect()} == {0}
+    # Of all rounds the last one is left.
+    assert len(tables() - before) == 1
+    assert session.release(spark) >= 1 and not session._made
