@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm.hashing import chunks, mix, words
-from siftwork.session import stored
+from siftwork.session import forget, stored
 
 SHINGLE = 3
 BANDS, ROWS = 32, 4
@@ -236,7 +236,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.withColumn("m", low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         small = least.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = stored(small.filter("u > v").distinct(), "edges")
+        before, now = now, stored(small.filter("u > v").distinct(), "edges")
+        forget(before)
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         # Settled when nothing changed, and then each node has one edge, to its root.
         if (found[0], found[1]) == mark:
