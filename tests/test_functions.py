@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -42,6 +43,18 @@ def test_token_estimate_any_text(spark, rows):
     assert all(abs(a - by_bytes(r)) <= (0 if r.isascii() else 1) for a, r in zip(got, rows, strict=True))
 
 
+def test_token_estimate_in_stretches(monkeypatch):
+    """Rows that are worked on together or apart, slices, nulls and empty arrays give the same."""
+    rows = ["ab cdefgh", "", "x" * 40, None, "\n\n", "a.b", "c", "é ü"] * 5
+    want = [None if r is None else by_bytes(r) for r in rows]
+    for stretch in (1, 8, 64, 1 << 22):
+        monkeypatch.setattr(text, "_STRETCH", stretch)
+        assert text.estimates(pa.array(rows)).to_pylist() == want
+        assert text.estimates(pa.array(rows).slice(3, 11)).to_pylist() == want[3:14]
+        assert text.estimates(pa.array(rows, pa.large_string())).to_pylist() == want
+    assert text.estimates(pa.array([], pa.string())).to_pylist() == [] and text.estimates(pa.array([None], pa.string())).to_pylist() == [None]
+
+
 def test_identifiers(spark):
     got = values(spark, text.identifiers(F.col("x")), ["let foo_bar = baz1 + 123 + ab; fn éa foo_bar", "", "if else"])
     assert got == [["foo_bar", "baz1", "éa"], [], []]
