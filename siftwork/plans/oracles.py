@@ -9,6 +9,9 @@ BUDGET = Budget().l3
 L1_TOKENS = Budget().l1
 #: Bytes and tokens at which the filter queries cut, so that both filters drop something.
 SMALL_LIMITS = (8192, 1500)
+#: Folders that the extension query skips, and the lines of the ignore query's file.
+SKIPPED = ("nation_4",)
+IGNORE_LINES = ("# pages", "*.net/", "**/en/*7", "!*3")
 FOCUS_SUPPLIER = "s1"
 FOCUS_PAGES = ("thther.example.org/en/685", "m.ththth.example.net/en")
 
@@ -248,6 +251,13 @@ ORACLE_SQL: dict[str, str] = {
     "language_map": "with "
     + _SOURCES
     + " select path, regexp_extract(path, '[^.]*$') as extension, language, true as watched from files",
+    "extension_filter": f"with {_SOURCES} select path, language from files where language in ('rust', 'go') and not list_has_any(string_split(path, '/'), {list(SKIPPED)})",
+    "ignored_paths": r"""
+        with p as (select page_id, string_split(regexp_replace(url, '^https?://', ''), '/') as a from pages)
+        select page_id, case when len(list_filter(a, lambda x: x like '%3')) > 0 then false
+                             when len(list_filter(range(1, len(a)), lambda i: a[i] = 'en' and a[i + 1] like '%7')) > 0 then true
+                             else len(list_filter(a[1:len(a) - 1], lambda x: x like '%.net')) > 0 end as ignored from p
+    """,
     "group_keys": r"""
         with p as (select page_id, regexp_replace(url, '^https?://', '') as p from pages),
         u as (select *, case when contains(p, '/') then regexp_replace(p, '/[^/]*$', '') else '' end as up from p)

@@ -11,7 +11,7 @@ from siftwork.functions import bpe_count, paths, scores, text
 from siftwork.operators import dedup, graph, history, ranking, render, scan, score, select, structure
 from siftwork.operators import feedback as fb
 from siftwork.plans import tables as T
-from siftwork.plans.oracles import BUDGET, FOCUS_PAGES, FOCUS_SUPPLIER, L1_TOKENS, ORACLE_SQL, SMALL_LIMITS
+from siftwork.plans.oracles import BUDGET, FOCUS_PAGES, FOCUS_SUPPLIER, IGNORE_LINES, L1_TOKENS, ORACLE_SQL, SKIPPED, SMALL_LIMITS
 from siftwork.session import stored
 from siftwork.sources import snapshot
 
@@ -84,6 +84,20 @@ def proximity(spark, d):
     return T.table(spark, d, "pages").select("page_id", paths.proximity(p, FOCUS_PAGES).cast("double").alias("proximity"))
 
 
+@query
+def extension_filter(spark, d):
+    """Source files of two languages, but for those below one folder."""
+    opts = scan.ScanOptions(extra_ignore=SKIPPED, include_extensions=("rs", "go"))
+    return T.sources(spark, d).filter(scan.kept_path(F.col("path"), opts)).select("path", "language")
+
+
+@query
+def ignored_paths(spark, d):
+    """Which pages the lines of an ignore file leave out; the last that matches decides."""
+    p = F.regexp_replace("url", r"^https?://", "")
+    return T.table(spark, d, "pages").select("page_id", scan.ignored(p, scan.gitignore_rules(IGNORE_LINES)).alias("ignored"))
+
+
 # Signals
 
 
