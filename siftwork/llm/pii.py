@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -583,12 +584,15 @@ def redacted(docs: DataFrame, field: Field | None = None, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(field)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            found = _in_chunks(field, [t or "" for t in texts], memo)
-            clean = [None if t is None else redact(t, s) for t, s in zip(texts, found, strict=True)]
-            cols = list(batch.columns)
-            cols[at] = pa.array(clean, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+            # A megabyte of texts at a time is read, searched and passed on; what is held of the whole batch is what came in.
+            for a, b in chunks(pc.binary_length(batch.column(at).cast(pa.string())).to_pylist(), 1 << 20):
+                part = batch.slice(a, b - a)
+                texts = part.column(at).to_pylist()
+                found = spans(field, [t or "" for t in texts], memo)
+                clean = [None if t is None else redact(t, s) for t, s in zip(texts, found, strict=True)]
+                cols = list(part.columns)
+                cols[at] = pa.array(clean, cols[at].type)
+                yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
     out = docs.mapInArrow(run, docs.schema)
     if size_col and size_col in docs.columns:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,11 +197,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            x, owner, _, _ = passages(texts)
-            cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-            rows = [x[a + np.arange(min(b - a, PASSAGES)) * (b - a) // max(1, min(b - a, PASSAGES))].astype(np.float16).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["id", "y", "x"])
+            # Features take about a hundred times the room of the texts.
+            for i, j in chunks(pc.binary_length(batch.column(1)).to_pylist(), 1 << 18):
+                part = batch.slice(i, j - i)
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                x, owner, _, _ = passages(texts)
+                cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+                rows = [x[a + np.arange(min(b - a, PASSAGES)) * (b - a) // max(1, min(b - a, PASSAGES))].astype(np.float16).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.binary())], names=["id", "y", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = src.select("id", "text", "y").mapInArrow(run, f"id {kind}, y double, x binary").toArrow().to_pylist()

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -85,3 +87,48 @@ def test_odd_documents(spark, small):
         assert out.count() >= 1
     for _, stage in cp.STAGES:
         assert stage(spark, spark.createDataFrame([], SCHEMA), small).count() == 0
+
+
+def taken_by_workers(monkeypatch, df, make):
+    """The functions that ``make`` gives to ``mapInArrow``."""
+    taken, real = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **k: taken.append(f) or real(self, f, *a, **k))
+    make()
+    return taken
+
+
+def traced(run, batch):
+    """What ``run`` gives for the batch, one at a time, and the most bytes that Python and numpy held of it."""
+    tracemalloc.start()
+    rows = [out.to_pylist() for out in run(iter([batch]))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return rows, most
+
+
+def test_training_reads_a_batch_in_parts(spark, monkeypatch):
+    texts = [f"A line of document {i}, one of many.\n" * 50 if i % 9 else None for i in range(2000)]
+    docs, labels = spark.createDataFrame([(1, "Some text.", "en", "a", 10)], SCHEMA), spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    (run,) = taken_by_workers(monkeypatch, docs, lambda: quality.train(docs, labels))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts), pa.array([1.0] * 2000)], names=["id", "text", "y"])
+    parts, most = traced(run, batch)
+    got = [r for p in parts for r in p]
+    assert [r["id"] for r in got] == list(range(2000))
+    for i in (0, 1, 700, 1999):
+        x = quality.passages([(texts[i] or "").encode()])[0]
+        assert got[i]["x"] == x.astype(np.float16).tobytes()
+    assert most < 120 << 20
+
+
+def test_personal_data_is_read_in_parts(spark, monkeypatch):
+    texts = [None if i % 50 == 0 else f"Number {i} writes to user{i}@host-{i % 9}.net. " + "Nothing else here. " * 60 for i in range(4000)]
+    docs = spark.createDataFrame([], SCHEMA)
+    field = pii.default_field()
+    (run,) = taken_by_workers(monkeypatch, docs, lambda: pii.redacted(docs, field))
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts), pa.array(["en"] * n), pa.array(["a"] * n), pa.array([0] * n)], names=docs.columns)
+    parts, _ = traced(run, batch)
+    got = [r for p in parts for r in p]
+    assert [r["doc_id"] for r in got] == list(range(n))
+    assert all(r["text"] == (t and t.replace(f"user{i}@host-{i % 9}.net", "<EMAIL>")) for i, (r, t) in enumerate(zip(got, texts, strict=True)))
+    assert max(sum(len(r["text"] or "") for r in p) for p in parts) <= 1 << 20
