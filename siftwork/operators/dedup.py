@@ -101,7 +101,8 @@ def near_pairs(prints: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS
     p = prints.filter("simhash is not null").select("key", "simhash", F.posexplode(keys).alias("mask", "value"))
     left = p.select(F.col("key").alias("a"), F.col("simhash").alias("x"), "mask", "value")
     right = p.select(F.col("key").alias("b"), F.col("simhash").alias("y"), F.col("mask").alias("mask2"), F.col("value").alias("value2"))
-    met = left.join(right, (F.col("mask") == F.col("mask2")) & (F.col("value") == F.col("value2")) & (F.col("a") < F.col("b")) & (hamming(F.col("x"), F.col("y")) <= threshold))
+    # Spark takes a row exploded by all masks for a single one and would broadcast many times its threshold.
+    met = left.join(right.hint("merge"), (F.col("mask") == F.col("mask2")) & (F.col("value") == F.col("value2")) & (F.col("a") < F.col("b")) & (hamming(F.col("x"), F.col("y")) <= threshold))
     # The pair is told by the first mask on which both agree.
     differ = F.col("x").bitwiseXOR(F.col("y"))
     first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])

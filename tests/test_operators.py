@@ -42,6 +42,14 @@ def test_pairs_against_all(spark, threshold):
     assert set(rows(dedup.near_pairs(df, threshold))) == want
 
 
+def test_pairs_are_not_broadcast(spark):
+    """Spark's estimate leaves out that each fingerprint is exploded by all masks."""
+    p = session.stored(spark.range(1000).select(F.col("id").alias("key"), F.xxhash64(F.floor(F.col("id") / 2)).bitwiseXOR(F.col("id") % 2).alias("simhash")), "prints")
+    pairs = dedup.near_pairs(p)
+    assert rows(pairs) == [(i, i + 1, 1) for i in range(0, 1000, 2)]
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fingerprints(spark):
     assert dedup.fingerprint("") == dedup.fingerprint(" \n") == 0
     assert dedup.fingerprint("a b c d") == dedup.fingerprint("a  b\nc d") != dedup.fingerprint("a b c e")
